@@ -76,22 +76,23 @@ def steps_by_visit(df: DataFrame, mode: str = "segmented") -> DataFrame:
             .drop(SEGMENT))
 
 
-def _last_row_key():
+def _last_row_key(*tie_breaks):
     """Sort key of "last row of a client": visit_id as text, then time
-    (nulls last, as pandas sorts), then event_seq."""
+    (nulls last, as pandas sorts), then event_seq, then ``tie_breaks``."""
     return F.struct(F.col("visit_id"), F.col("date_time").isNull(), F.col("date_time"),
-                    F.col("event_seq"))
+                    F.col("event_seq"), *tie_breaks)
 
 
-def last_row_per_client(df: DataFrame, columns: list[str]) -> DataFrame:
+def last_row_per_client(df: DataFrame, columns: list[str], *tie_breaks) -> DataFrame:
     """The last row of each client in (visit_id, date_time, event_seq) order.
 
     ``max_by`` is an ordinary partial aggregate, so a client with millions of rows is
-    reduced map-side instead of being sorted in one task.
+    reduced map-side instead of being sorted in one task.  ``tie_breaks`` order rows that
+    are copies of one event but carry different derived values.
     """
     picked = df.groupBy("client_id").agg(
-        F.max_by(F.struct(*[c for c in columns if c != "client_id"]), _last_row_key())
-        .alias("_row"))
+        F.max_by(F.struct(*[c for c in columns if c != "client_id"]),
+                 _last_row_key(*tie_breaks)).alias("_row"))
     return picked.select("client_id", "_row.*")
 
 

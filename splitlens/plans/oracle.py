@@ -215,3 +215,121 @@ register("retry_clients", """
 SELECT client_id, variation, max(attempt_no) AS max_attempt FROM kev
 WHERE variation IN ('Control', 'Test') AND attempt_no > 2 GROUP BY client_id, variation
 """, "kev")
+
+# -- visits, durations, funnel ----------------------------------------------------------
+cte("visit_steps", """
+SELECT client_id, visit_id, count(DISTINCT process_step) AS n_of_unique_steps
+FROM merged WHERE visit_id IS NOT NULL GROUP BY client_id, visit_id
+""", "merged")
+cte("pd0", """
+SELECT m.client_id, m.clnt_age, m.gendr, m.variation, m.visitor_id, m.visit_id, m.date_time,
+       m.process_step, m.event_seq, g.n_of_unique_steps, g.last_start_time,
+       g.last_step1_time, g.last_step2_time, g.last_step3_time, g.last_confirm_time
+FROM merged m LEFT JOIN (
+    SELECT client_id, visit_id, count(DISTINCT process_step) AS n_of_unique_steps,
+           max(CASE WHEN process_step = 'start' THEN date_time END) AS last_start_time,
+           max(CASE WHEN process_step = 'step_1' THEN date_time END) AS last_step1_time,
+           max(CASE WHEN process_step = 'step_2' THEN date_time END) AS last_step2_time,
+           max(CASE WHEN process_step = 'step_3' THEN date_time END) AS last_step3_time,
+           max(CASE WHEN process_step = 'confirm' THEN date_time END) AS last_confirm_time
+    FROM merged GROUP BY client_id, visit_id) g
+  ON m.client_id = g.client_id AND m.visit_id = g.visit_id
+""", "merged")
+cte("pd1", """
+SELECT *,
+       CAST(date_diff('microsecond', lag(date_time) OVER w, date_time) AS DOUBLE) / 1e6
+           AS step_sec,
+       CAST(date_diff('microsecond', min(date_time) OVER g, max(date_time) OVER g) AS DOUBLE)
+           / 1e6 AS all_sec
+FROM pd0
+WHERE coalesce(date_time >= last_start_time, false)
+  AND NOT coalesce(process_step = 'confirm' AND date_time < last_confirm_time, false)
+  AND NOT coalesce(process_step = 'step_1' AND date_time < last_step1_time, false)
+  AND NOT coalesce(process_step = 'step_2' AND date_time < last_step2_time, false)
+  AND NOT coalesce(process_step = 'step_3' AND date_time < last_step3_time, false)
+WINDOW w AS (PARTITION BY client_id, visit_id ORDER BY date_time ASC NULLS LAST, event_seq),
+       g AS (PARTITION BY client_id, visit_id)
+""", "pd0")
+cte("pdur", f"""
+SELECT client_id, clnt_age, gendr, variation, visitor_id, visit_id, date_time, process_step,
+       n_of_unique_steps, last_start_time, last_step1_time, last_step2_time,
+       last_step3_time, last_confirm_time,
+       step_sec AS step_duration, {rhe('step_sec / 60', 2)} AS step_duration_min,
+       step_sec AS step_duration_sec, all_sec AS all_steps_duration,
+       {rhe('all_sec / 60', 2)} AS all_steps_dur_min,
+       {rhe('all_sec / 3600', 3)} AS all_steps_dur_hr, event_seq
+FROM pd1
+""", "pd1")
+cte("cdur", """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY visit_id DESC,
+            date_time IS NULL DESC, date_time DESC, event_seq DESC,
+            coalesce(step_duration, CAST('inf' AS DOUBLE)) ASC) AS rn
+  FROM pdur WHERE n_of_unique_steps = 5)
+WHERE rn = 1
+""", "pdur")
+cte("last_visit", """
+SELECT l.client_id, l.visit_id, l.variation, l.process_step, l.date_time, l.event_seq,
+       s.n_of_unique_steps, s.n_of_unique_steps AS last_reached_step
+FROM (SELECT * FROM (
+        SELECT client_id, visit_id, variation, process_step, date_time, event_seq,
+               row_number() OVER (PARTITION BY client_id ORDER BY visit_id DESC,
+                   date_time IS NULL DESC, date_time DESC, event_seq DESC) AS rn
+        FROM merged WHERE visit_id IS NOT NULL) WHERE rn = 1) l
+LEFT JOIN visit_steps s ON l.client_id = s.client_id AND l.visit_id = s.visit_id
+""", "merged", "visit_steps")
+cte("fun", f"""
+SELECT variation, process_step, step_num, n_clients,
+       {rhe('CAST(n_clients AS DOUBLE) / first_value(n_clients) OVER w * 100', 2)}
+           AS conversion_rate,
+       (1 - CAST(n_clients AS DOUBLE) / lag(n_clients) OVER w) * 100 AS dropoff_rate
+FROM (SELECT variation, process_step, {step_num_sql()} AS step_num,
+             count(DISTINCT client_id) AS n_clients
+      FROM merged WHERE {step_num_sql()} IS NOT NULL
+      GROUP BY variation, process_step)
+WINDOW w AS (PARTITION BY variation ORDER BY step_num)
+""", "merged")
+cte("step_dist", """
+SELECT n_steps, count(*) AS n_clients
+FROM (SELECT client_id, count(DISTINCT process_step) AS n_steps FROM merged GROUP BY client_id)
+GROUP BY n_steps
+""", "merged")
+
+register("steps_by_visit", """
+SELECT m.client_id, m.visit_id, m.event_seq, s.n_of_unique_steps,
+       CASE WHEN s.n_of_unique_steps = 5 THEN 'Yes' ELSE 'No' END AS completed_steps
+FROM merged m LEFT JOIN visit_steps s ON m.client_id = s.client_id AND m.visit_id = s.visit_id
+""", "merged", "visit_steps")
+register("client_last_visit", "SELECT * FROM last_visit", "last_visit")
+register("process_durations", "SELECT * FROM pdur", "pdur")
+register("completion_durations", "SELECT * FROM cdur", "cdur")
+register("duration_stats", f"""
+SELECT variation, {stable_sql('avg(all_steps_dur_min)')} AS avg_min,
+       max(all_steps_dur_min) AS max_min, min(all_steps_dur_min) AS min_min
+FROM cdur WHERE variation IN ('Control', 'Test') GROUP BY variation
+""", "cdur")
+register("funnel", "SELECT * FROM fun", "fun")
+register("funnel_pivot", """
+SELECT process_step, step_num,
+  max(CASE WHEN variation = 'Control' THEN conversion_rate END) AS conversion_rate_control,
+  max(CASE WHEN variation = 'Others' THEN conversion_rate END) AS conversion_rate_others,
+  max(CASE WHEN variation = 'Test' THEN conversion_rate END) AS conversion_rate_test,
+  max(CASE WHEN variation = 'Control' THEN dropoff_rate END) AS dropoff_rate_control,
+  max(CASE WHEN variation = 'Others' THEN dropoff_rate END) AS dropoff_rate_others,
+  max(CASE WHEN variation = 'Test' THEN dropoff_rate END) AS dropoff_rate_test
+FROM fun GROUP BY process_step, step_num
+""", "fun")
+register("step_distribution", "SELECT * FROM step_dist", "step_dist")
+register("step_distribution_pct", """
+SELECT n_steps, n_clients, CAST(n_clients AS DOUBLE) / sum(n_clients) OVER () AS share
+FROM step_dist
+""", "step_dist")
+register("steps_crosstab", """
+SELECT n_steps, control, test,
+       CAST(control AS DOUBLE) / (control + test) * 100 AS control_pct,
+       CAST(test AS DOUBLE) / (control + test) * 100 AS test_pct
+FROM (SELECT n_of_unique_steps AS n_steps,
+             count(CASE WHEN variation = 'Control' THEN 1 END) AS control,
+             count(CASE WHEN variation = 'Test' THEN 1 END) AS test
+      FROM last_visit WHERE variation <> 'Others' GROUP BY n_of_unique_steps)
+""", "last_visit")

@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import cleaning, sessions
+from ..operators import cleaning, durations, sessions
 from ..sources.fixtures import Domain, load_domain
 
 
@@ -60,3 +60,11 @@ class Stages:
     @cached_property
     def kpi_events(self) -> DataFrame:
         return sessions.kpi_events(self.kpi_population, self.mode)
+
+    @cached_property
+    def process_durations(self) -> DataFrame:
+        return durations.process_durations(self.merged_events, self.mode)
+
+    @cached_property
+    def completion_durations(self) -> DataFrame:
+        return durations.completion_durations(self.process_durations)

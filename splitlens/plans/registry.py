@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kpis, sessions
+from ..operators import durations, funnel, kpis, sessions
 from .pipeline import Stages
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,55 @@ def _kpi_summary(s: Stages) -> DataFrame:
 @query("retry_clients")
 def _retry_clients(s: Stages) -> DataFrame:
     return kpis.retry_clients(s.kpi_events)
+
+
+# -- visits, durations, funnel ---------------------------------------------------------
+@query("steps_by_visit")
+def _steps_by_visit(s: Stages) -> DataFrame:
+    return sessions.steps_by_visit(s.merged_events, s.mode).select(
+        "client_id", "visit_id", "event_seq", "n_of_unique_steps", "completed_steps")
+
+
+@query("client_last_visit")
+def _client_last_visit(s: Stages) -> DataFrame:
+    return sessions.client_last_visit(s.merged_events)
+
+
+@query("process_durations")
+def _process_durations(s: Stages) -> DataFrame:
+    return s.process_durations
+
+
+@query("completion_durations")
+def _completion_durations(s: Stages) -> DataFrame:
+    return s.completion_durations
+
+
+@query("duration_stats")
+def _duration_stats(s: Stages) -> DataFrame:
+    return durations.duration_stats(s.completion_durations)
+
+
+@query("funnel")
+def _funnel(s: Stages) -> DataFrame:
+    return funnel.funnel(s.merged_events)
+
+
+@query("funnel_pivot")
+def _funnel_pivot(s: Stages) -> DataFrame:
+    return funnel.funnel_pivot(s.merged_events)
+
+
+@query("step_distribution")
+def _step_distribution(s: Stages) -> DataFrame:
+    return funnel.step_distribution(s.merged_events)
+
+
+@query("step_distribution_pct")
+def _step_distribution_pct(s: Stages) -> DataFrame:
+    return funnel.step_distribution_pct(s.merged_events)
+
+
+@query("steps_crosstab")
+def _steps_crosstab(s: Stages) -> DataFrame:
+    return funnel.steps_crosstab(s.merged_events)
