@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import stable
 from ..functions.steps import ARMS, UNASSIGNED_LABEL
 
 DEMO_COLUMNS = ["client_id", "clnt_tenure_yr", "clnt_age", "gendr", "bal"]
@@ -104,8 +105,8 @@ def group_labels(experiment: DataFrame, demo: DataFrame) -> DataFrame:
         "label", F.coalesce(F.col("variation"), F.lit("no_data")))
     return labelled.groupBy("label").agg(
         F.count("*").alias("n_clients"),
-        F.avg("clnt_age").alias("avg_age"),
-        F.avg("clnt_tenure_yr").alias("avg_tenure"))
+        stable(F.avg("clnt_age")).alias("avg_age"),
+        stable(F.avg("clnt_tenure_yr")).alias("avg_tenure"))
 
 
 def group_fold_sensitivity(experiment: DataFrame, demo: DataFrame) -> DataFrame:
@@ -115,5 +116,5 @@ def group_fold_sensitivity(experiment: DataFrame, demo: DataFrame) -> DataFrame:
                         F.lit("Control")).otherwise(F.lit("Test")))
     return folded.groupBy("label").agg(
         F.count("*").alias("n_clients"),
-        F.avg("clnt_age").alias("avg_age"),
-        F.avg("clnt_tenure_yr").alias("avg_tenure"))
+        stable(F.avg("clnt_age")).alias("avg_age"),
+        stable(F.avg("clnt_tenure_yr")).alias("avg_tenure"))

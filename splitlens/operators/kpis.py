@@ -47,47 +47,80 @@ def finishers(events: DataFrame) -> DataFrame:
         "client_id", "variation", "visit_id", "date_time", "event_seq", "attempt_no")
 
 
+def arm_totals(events: DataFrame) -> DataFrame:
+    """One two-level aggregate for every client-based KPI of an arm.
+
+    Per (arm, client): highest attempt number, whether any finish row exists, and the
+    number of distinct attempts with a finish row; then per arm: sums and counts of those.
+    Both levels are partial aggregates, so a client with a huge history is reduced
+    map-side, and the event table is read once for all four KPIs.
+    """
+    finish = F.col("finish")
+    per_client = _arms(events).groupBy("variation", "client_id").agg(
+        F.max("attempt_no").alias("_max_attempt"),
+        F.max(finish.cast("int")).alias("_finished"),
+        F.count_distinct(F.when(finish, F.col("attempt_no"))).alias("_fin_attempts"),
+        F.max(finish & F.col("attempt_no").isNull()).alias("_fin_null_attempt"))
+    return per_client.groupBy("variation").agg(
+        F.sum("_finished").cast("long").alias("clients_finished"),
+        F.count("*").alias("total_clients"),
+        F.sum("_max_attempt").cast("long").alias("total_attempts"),
+        (F.sum("_fin_attempts") + F.sum(F.col("_fin_null_attempt").cast("int")))
+        .cast("long").alias("finished_attempts"))
+
+
+def _finisher_rate(totals: DataFrame) -> DataFrame:
+    return (totals.where(F.col("clients_finished") > 0)
+            .select("variation", "clients_finished", "total_clients",
+                    round_half_even(F.col("clients_finished") / F.col("total_clients") * 100, 2)
+                    .alias("finisher_clients_pct")))
+
+
+def _completion_rate(totals: DataFrame) -> DataFrame:
+    return (totals.where(F.col("finished_attempts") > 0)
+            .select("variation", "finished_attempts", "total_attempts",
+                    round_half_even(F.try_divide(F.col("finished_attempts"),
+                                                 F.col("total_attempts")) * 100, 2)
+                    .alias("completion_rate_pct")))
+
+
 def finisher_rate(events: DataFrame) -> DataFrame:
     """Distinct finishing clients over distinct clients per arm, in percent.
 
     Arms without any finisher have no row (the reference merges the two counts with an
     inner join).
     """
-    agg = _arms(events).groupBy("variation").agg(
-        F.count_distinct(F.when(F.col("finish"), F.col("client_id"))).alias("clients_finished"),
-        F.count_distinct("client_id").alias("total_clients"))
-    return (agg.where(F.col("clients_finished") > 0)
-            .withColumn("finisher_clients_pct", round_half_even(
-                F.col("clients_finished") / F.col("total_clients") * 100, 2)))
+    return _finisher_rate(arm_totals(events))
 
 
 def total_attempts(events: DataFrame) -> DataFrame:
     """Highest attempt number per client, summed per arm."""
-    per_client = (_arms(events).groupBy("variation", "client_id")
-                  .agg(F.max("attempt_no").alias("_max_attempt")))
-    return per_client.groupBy("variation").agg(
-        F.sum("_max_attempt").cast("long").alias("total_attempts"))
+    return arm_totals(events).select("variation", "total_attempts")
 
 
 def finished_attempts(events: DataFrame) -> DataFrame:
     """Distinct (client, attempt) pairs with a finish row, per arm."""
-    return (_arms(events).where(F.col("finish")).groupBy("variation")
-            .agg(F.count_distinct("client_id", "attempt_no").alias("finished_attempts")))
+    return (arm_totals(events).where(F.col("finished_attempts") > 0)
+            .select("variation", "finished_attempts"))
 
 
 def completion_rate(events: DataFrame) -> DataFrame:
     """Finished attempts over total attempts in percent (``try_divide``: an arm with
     no attempt gets null instead of an error)."""
-    joined = finished_attempts(events).join(total_attempts(events), "variation")
-    return joined.withColumn("completion_rate_pct", round_half_even(
-        F.try_divide(F.col("finished_attempts"), F.col("total_attempts")) * 100, 2))
+    return _completion_rate(arm_totals(events))
 
 
 def kpi_summary(events: DataFrame) -> DataFrame:
-    """Completion, mean step error and finisher share per arm."""
-    return (completion_rate(events)
+    """Completion, mean step error and finisher share per arm.
+
+    Two aggregates over the event table (per step and per client); the joins that follow
+    are between tables with one row per arm.
+    """
+    totals = arm_totals(events)
+    return (_completion_rate(totals)
             .join(error_summary(events), "variation")
-            .join(finisher_rate(events).select("variation", "finisher_clients_pct"), "variation")
+            .join(_finisher_rate(totals).select("variation", "finisher_clients_pct"),
+                  "variation")
             .select("variation", "finished_attempts", "total_attempts", "completion_rate_pct",
                     "error_rate_pct", "finisher_clients_pct"))
 

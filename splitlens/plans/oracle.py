@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from ..functions.rounding import round_half_even_sql as rhe
 from ..functions.rounding import stable_sql
+from ..functions.distributions import norm_sf_sql, student_t_cdf_sql
 from ..functions.steps import step_num_sql
 
 _CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
@@ -34,7 +35,10 @@ def sql(select: str, *needs: str) -> str:
     if not order:
         return select.strip()
     parts = [f"{name} AS (\n{_CTES[name][0]}\n)" for name in order]
-    return "WITH " + ",\n".join(parts) + "\n" + select.strip()
+    body = select.strip()
+    if body[:5].upper() == "WITH ":  # the query's own CTEs follow the shared ones
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(parts) + "\n" + body
 
 
 ORD = "date_time ASC NULLS LAST, event_seq ASC"
@@ -155,6 +159,11 @@ FROM (SELECT variation,
       FROM kev WHERE variation IN ('Control', 'Test') GROUP BY variation)
 WHERE clients_finished > 0
 """, "kev")
+cte("fin_tot", """
+SELECT variation, count(DISTINCT CASE WHEN finish THEN client_id END) AS clients_finished,
+       count(DISTINCT client_id) AS total_clients
+FROM kev WHERE variation IN ('Control', 'Test') GROUP BY variation
+""", "kev")
 cte("tot_att", """
 SELECT variation, CAST(sum(m) AS BIGINT) AS total_attempts
 FROM (SELECT variation, client_id, max(attempt_no) AS m FROM kev
@@ -333,3 +342,306 @@ FROM (SELECT n_of_unique_steps AS n_steps,
              count(CASE WHEN variation = 'Test' THEN 1 END) AS test
       FROM last_visit WHERE variation <> 'Others' GROUP BY n_of_unique_steps)
 """, "last_visit")
+
+# -- populations, labels, balance -------------------------------------------------------
+cte("assigned", """
+SELECT e.client_id, e.variation, d.clnt_tenure_yr, d.clnt_age, d.gendr, d.bal
+FROM exper e JOIN demo_c d ON e.client_id = d.client_id
+""", "exper", "demo_c")
+cte("bal_long", """
+SELECT client_id, variation, gendr, 'clnt_age' AS metric, clnt_age AS value
+FROM assigned WHERE variation IS NOT NULL
+UNION ALL
+SELECT client_id, variation, gendr, 'clnt_tenure_yr' AS metric, clnt_tenure_yr AS value
+FROM assigned WHERE variation IS NOT NULL
+""", "assigned")
+
+register("valid_groups", """
+SELECT * FROM master_t WHERE variation IN ('Control', 'Test') AND gendr IS DISTINCT FROM 'X'
+""", "master_t")
+register("group_labels", f"""
+SELECT coalesce(variation, 'no_data') AS label, count(*) AS n_clients,
+       {stable_sql('avg(clnt_age)')} AS avg_age, {stable_sql('avg(clnt_tenure_yr)')} AS avg_tenure
+FROM assigned GROUP BY 1
+""", "assigned")
+register("group_fold_sensitivity", f"""
+SELECT CASE WHEN variation IS NULL OR variation = 'Control' THEN 'Control' ELSE 'Test' END
+           AS label, count(*) AS n_clients,
+       {stable_sql('avg(clnt_age)')} AS avg_age, {stable_sql('avg(clnt_tenure_yr)')} AS avg_tenure
+FROM assigned GROUP BY 1
+""", "assigned")
+register("balance_describe", f"""
+SELECT variation, metric, count(value) AS count, {rhe('avg(value)', 2)} AS mean,
+       {rhe('stddev_samp(value)', 2)} AS std, {rhe('min(value)', 2)} AS min,
+       {rhe('quantile_cont(value, 0.25)', 2)} AS q25, {rhe('quantile_cont(value, 0.5)', 2)} AS q50,
+       {rhe('quantile_cont(value, 0.75)', 2)} AS q75, {rhe('max(value)', 2)} AS max
+FROM bal_long GROUP BY variation, metric
+""", "bal_long")
+register("gender_crosstab", """
+SELECT variation,
+       CAST(count(CASE WHEN gendr = 'F' THEN 1 END) AS DOUBLE) / count(*) * 100 AS f_pct,
+       CAST(count(CASE WHEN gendr = 'M' THEN 1 END) AS DOUBLE) / count(*) * 100 AS m_pct,
+       CAST(count(CASE WHEN gendr = 'U' THEN 1 END) AS DOUBLE) / count(*) * 100 AS u_pct,
+       CAST(count(CASE WHEN gendr = 'X' THEN 1 END) AS DOUBLE) / count(*) * 100 AS x_pct
+FROM assigned WHERE variation IS NOT NULL AND gendr IS NOT NULL GROUP BY variation
+""", "assigned")
+register("balance_by_gender", f"""
+SELECT variation, gendr, metric, count(value) AS n, {stable_sql('avg(value)')} AS mean,
+       {stable_sql('avg(value) - 1.96e0 * stddev_samp(value) / sqrt(count(value))')} AS ci_low,
+       {stable_sql('avg(value) + 1.96e0 * stddev_samp(value) / sqrt(count(value))')} AS ci_high
+FROM bal_long WHERE gendr IS NOT NULL GROUP BY variation, gendr, metric
+""", "bal_long")
+register("balance_boxplot", f"""
+WITH v AS (SELECT * FROM bal_long WHERE gendr IS NOT NULL AND value IS NOT NULL),
+q AS (SELECT variation, gendr, metric, quantile_cont(value, 0.25) AS q25,
+             quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75
+      FROM v GROUP BY variation, gendr, metric),
+j AS (SELECT v.variation, v.gendr, v.metric, v.value, q.q25, q.q50, q.q75,
+             v.value >= q.q25 - 1.5e0 * (q.q75 - q.q25)
+             AND v.value <= q.q75 + 1.5e0 * (q.q75 - q.q25) AS inside
+      FROM v JOIN q ON v.variation = q.variation AND v.gendr = q.gendr AND v.metric = q.metric)
+SELECT variation, gendr, metric, {stable_sql('q25')} AS q25, {stable_sql('q50')} AS q50,
+       {stable_sql('q75')} AS q75,
+       {stable_sql('min(CASE WHEN inside THEN value END)')} AS whisker_low,
+       {stable_sql('max(CASE WHEN inside THEN value END)')} AS whisker_high,
+       count(CASE WHEN NOT inside THEN 1 END) AS n_outliers
+FROM j GROUP BY variation, gendr, metric, q25, q50, q75
+""", "bal_long")
+
+
+def _histogram_sql(metric: str, bins: int = 30) -> str:
+    def edge(i: str) -> str:
+        return (f"(CASE WHEN {i} >= {bins} THEN hi "
+                f"ELSE CAST({i} AS DOUBLE) * ((hi - lo) / {bins}.0e0) + lo END)")
+    return f"""
+WITH vals AS (SELECT variation, {metric} AS x FROM assigned
+              WHERE variation IS NOT NULL AND {metric} IS NOT NULL),
+rng AS (SELECT variation,
+               CASE WHEN min(x) = max(x) THEN min(x) - 0.5e0 ELSE min(x) END AS lo,
+               CASE WHEN min(x) = max(x) THEN max(x) + 0.5e0 ELSE max(x) END AS hi
+        FROM vals GROUP BY variation),
+f AS (SELECT v.variation, v.x, r.lo, r.hi,
+             CAST(least(greatest(floor((v.x - r.lo) * ({bins}.0e0 / (r.hi - r.lo))), 0),
+                  {bins - 1}) AS INTEGER) AS f
+      FROM vals v JOIN rng r ON v.variation = r.variation),
+c AS (SELECT variation,
+             CASE WHEN x < {edge('f')} THEN f - 1
+                  WHEN x >= {edge('f + 1')} AND f <> {bins - 1} THEN f + 1 ELSE f END AS bin,
+             count(*) AS n
+      FROM f GROUP BY 1, 2),
+g AS (SELECT r.variation, r.lo, r.hi, CAST(b.range AS INTEGER) AS bin
+      FROM rng r CROSS JOIN range(0, {bins}) b)
+SELECT g.variation, g.bin, {stable_sql(edge('g.bin'))} AS lo,
+       {stable_sql(edge('g.bin + 1'))} AS hi, coalesce(c.n, 0) AS n
+FROM g LEFT JOIN c ON g.variation = c.variation AND g.bin = c.bin
+"""
+
+
+register("histogram_age", _histogram_sql("clnt_age"), "assigned")
+register("histogram_tenure", _histogram_sql("clnt_tenure_yr"), "assigned")
+register("age_tenure_relation", f"""
+SELECT variation,
+       count(CASE WHEN clnt_age IS NOT NULL AND clnt_tenure_yr IS NOT NULL THEN 1 END) AS n,
+       {stable_sql('corr(clnt_age, clnt_tenure_yr)')} AS corr
+FROM assigned WHERE variation IS NOT NULL GROUP BY variation
+""", "assigned")
+
+# -- dashboards ---------------------------------------------------------------------------
+_BAND_RIGHT = ("CASE WHEN clnt_age <= 30 THEN '<=30' WHEN clnt_age <= 50 THEN '30-50' "
+               "WHEN clnt_age <= 60 THEN '50-60' WHEN clnt_age > 60 THEN '>60' END")
+_BAND_LEFT = ("CASE WHEN clnt_age < 30 THEN '<30' WHEN clnt_age < 50 THEN '30-50' "
+              "WHEN clnt_age < 60 THEN '50-60' WHEN clnt_age >= 60 THEN '>=60' END")
+
+
+def _band_order(labels) -> str:
+    arms = " ".join(f"WHEN '{lab}' THEN {pos}" for lab, pos in labels)
+    return f"CAST(CASE age_band {arms} END AS INTEGER)"
+
+
+register("duration_by_age", f"""
+SELECT variation, age_band, avg_min,
+       {_band_order([('<=30', 1), ('30-50', 2), ('50-60', 3), ('>60', 4)])} AS band_order
+FROM (SELECT variation, {_BAND_RIGHT} AS age_band,
+             {stable_sql('avg(all_steps_dur_min)')} AS avg_min
+      FROM cdur WHERE variation IN ('Control', 'Test') AND ({_BAND_RIGHT}) IS NOT NULL
+      GROUP BY 1, 2)
+""", "cdur")
+register("duration_by_gender", f"""
+SELECT variation, gendr, {stable_sql('avg(all_steps_dur_min)')} AS avg_min
+FROM cdur WHERE variation IN ('Control', 'Test') AND gendr IN ('F', 'M')
+GROUP BY variation, gendr
+""", "cdur")
+register("step_duration_by_arm", f"""
+SELECT variation, process_step, {stable_sql('avg(step_duration_sec)')} AS avg_sec,
+       {step_num_sql()} AS step_num
+FROM pdur WHERE variation IN ('Control', 'Test') GROUP BY variation, process_step
+""", "pdur")
+register("step_duration_by_age", f"""
+SELECT variation, process_step, age_band, avg_sec,
+       {_band_order([('<30', 1), ('30-50', 2), ('50-60', 3), ('>=60', 4)])} AS band_order
+FROM (SELECT variation, process_step, {_BAND_LEFT} AS age_band,
+             {stable_sql('avg(step_duration_sec)')} AS avg_sec
+      FROM pdur WHERE variation IN ('Control', 'Test') AND gendr IN ('F', 'M')
+        AND ({_BAND_LEFT}) IS NOT NULL
+      GROUP BY 1, 2, 3)
+""", "pdur")
+register("step_duration_by_gender", f"""
+SELECT variation, process_step, gendr, {stable_sql('avg(step_duration_sec)')} AS avg_sec
+FROM pdur WHERE variation IN ('Control', 'Test') AND gendr IN ('F', 'M')
+GROUP BY variation, process_step, gendr
+""", "pdur")
+register("duration_log_distribution", f"""
+SELECT b.variation, b.log_bin, b.n, m.avg_all
+FROM (SELECT variation, CAST(floor(log10(all_steps_dur_min) * 4) AS BIGINT) AS log_bin,
+             count(*) AS n
+      FROM cdur WHERE variation IN ('Control', 'Test') AND all_steps_dur_min > 0
+      GROUP BY 1, 2) b
+JOIN (SELECT variation, {stable_sql('avg(all_steps_dur_min)')} AS avg_all FROM cdur
+      WHERE variation IN ('Control', 'Test') GROUP BY variation) m
+  ON b.variation = m.variation
+""", "cdur")
+
+# -- tests --------------------------------------------------------------------------------
+def _ztest_sql(counts: str) -> str:
+    p_t = "(CAST(x_test AS DOUBLE) / n_test)"
+    p_c = "(CAST(x_control AS DOUBLE) / n_control)"
+    pooled = "(CAST(x_test + x_control AS DOUBLE) / (n_test + n_control))"
+    se = f"sqrt({pooled} * (1 - {pooled}) * (1.0e0 / n_test + 1.0e0 / n_control))"
+    z = f"(({p_t} - {p_c}) / {se})"
+    return f"""
+WITH c AS ({counts}),
+one AS (SELECT max(CASE WHEN variation = 'Test' THEN x END) AS x_test,
+               max(CASE WHEN variation = 'Control' THEN x END) AS x_control,
+               max(CASE WHEN variation = 'Test' THEN n END) AS n_test,
+               max(CASE WHEN variation = 'Control' THEN n END) AS n_control FROM c)
+SELECT n_test, n_control, x_test, x_control, {stable_sql(p_t)} AS p_test,
+       {stable_sql(p_c)} AS p_control, {stable_sql(z)} AS z_stat,
+       {stable_sql(norm_sf_sql(z))} AS p_value, {norm_sf_sql(z)} < 0.05 AS reject_h0
+FROM one
+"""
+
+
+register("ztest_completion", _ztest_sql(
+    "SELECT variation, clients_finished AS x, total_clients AS n FROM fin_tot"), "fin_tot")
+register("ztest_error_rate", _ztest_sql("""
+SELECT variation, count(CASE WHEN is_error THEN 1 END) AS x,
+       count(CASE WHEN step_num IN (1, 2, 3, 4) THEN 1 END) AS n
+FROM kev WHERE variation IN ('Control', 'Test') GROUP BY variation"""), "kev")
+
+
+def _welch_sql() -> str:
+    se_t, se_c = "(v_test / n_test)", "(v_control / n_control)"
+    t = f"((m_test - m_control) / sqrt({se_t} + {se_c}))"
+    dof = (f"(({se_t} + {se_c}) * ({se_t} + {se_c}) / ({se_t} * {se_t} / (n_test - 1) "
+           f"+ {se_c} * {se_c} / (n_control - 1)))")
+    p = student_t_cdf_sql(t, dof)
+    return f"""
+WITH w AS (SELECT variation, count(all_steps_dur_hr) AS n, avg(all_steps_dur_hr) AS m,
+                  var_samp(all_steps_dur_hr) AS v
+           FROM cdur WHERE variation IN ('Control', 'Test') GROUP BY variation),
+one AS (SELECT max(CASE WHEN variation = 'Test' THEN n END) AS n_test,
+               max(CASE WHEN variation = 'Test' THEN m END) AS m_test,
+               max(CASE WHEN variation = 'Test' THEN v END) AS v_test,
+               max(CASE WHEN variation = 'Control' THEN n END) AS n_control,
+               max(CASE WHEN variation = 'Control' THEN m END) AS m_control,
+               max(CASE WHEN variation = 'Control' THEN v END) AS v_control FROM w)
+SELECT n_test, n_control, {stable_sql('m_test')} AS mean_test,
+       {stable_sql('m_control')} AS mean_control, {stable_sql('v_test')} AS var_test,
+       {stable_sql('v_control')} AS var_control, {stable_sql(t)} AS t_stat,
+       {stable_sql(dof)} AS df, {stable_sql(p)} AS p_value, {p} < 0.05 AS reject_h0
+FROM one
+"""
+
+
+register("welch_duration", _welch_sql(), "cdur")
+register("arm_overlap", """
+SELECT count(*) AS n_overlap FROM (
+  SELECT client_id FROM kev WHERE variation = 'Control'
+  INTERSECT SELECT client_id FROM kev WHERE variation = 'Test')
+""", "kev")
+
+# -- profiles -----------------------------------------------------------------------------
+def _dup_all_cols(table: str, cols: list[str]) -> str:
+    keys = ", ".join(cols)
+    return f"(SELECT {keys}, count(*) AS c FROM {table} GROUP BY {keys})"
+
+
+_WEB = ["client_id", "visitor_id", "visit_id", "process_step", "date_time", "event_seq"]
+_EXP = ["client_id", "variation"]
+
+
+def _dup_count(part: str, table: str, cols: list[str]) -> str:
+    return (f"SELECT '{part}' AS part, CAST(sum(c) AS BIGINT) AS n_rows, "
+            f"CAST(sum(c - 1) AS BIGINT) AS n_duplicates FROM {_dup_all_cols(table, cols)}")
+
+
+register("duplicate_counts", " UNION ALL ".join([
+    _dup_count("web_pt1", "web_pt1", _WEB), _dup_count("web_pt2", "web_pt2", _WEB),
+    _dup_count("web_log_clean", "web_clean", _WEB), _dup_count("experiment", "exper", _EXP),
+    _dup_count("experiment_client_id", "exper", ["client_id"]),
+    _dup_count("demographics_client_id", "demo_c", ["client_id"])]),
+    "web_pt1", "web_pt2", "web_clean", "exper", "demo_c")
+
+
+def _dup_rows(part: str, table: str) -> str:
+    on = " AND ".join(f"t.{c} IS NOT DISTINCT FROM d.{c}" for c in _WEB)
+    cols = ", ".join(f"t.{c}" for c in _WEB)
+    return (f"SELECT '{part}' AS part, {cols}, d.c AS n_copies FROM {table} t "
+            f"JOIN (SELECT * FROM {_dup_all_cols(table, _WEB)} WHERE c > 1) d ON {on}")
+
+
+register("duplicate_rows", _dup_rows("web_pt1", "web_pt1") + " UNION ALL "
+         + _dup_rows("web_pt2", "web_pt2"), "web_pt1", "web_pt2")
+register("distinct_values", """
+SELECT column_name, value, count(*) AS n FROM (
+  SELECT 'variation' AS column_name, variation AS value FROM master_t
+  UNION ALL SELECT 'process_step', process_step FROM master_t
+  UNION ALL SELECT 'gendr', gendr FROM master_t)
+GROUP BY column_name, value
+""", "master_t")
+
+_PROFILED = {
+    "experiment": ("exper", _EXP),
+    "demographics": ("demo_raw", ["client_id", "clnt_tenure_yr", "clnt_age", "gendr", "bal"]),
+    "web_log_clean": ("web_clean", _WEB),
+    "master": ("master_t", ["client_id", "clnt_tenure_yr", "clnt_age", "gendr", "bal",
+                            "variation", "visitor_id", "visit_id", "process_step",
+                            "date_time", "event_seq"]),
+}
+register("null_profile", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, "
+    f"count(*) - count({c}) AS n_null FROM {table}"
+    for name, (table, cols) in _PROFILED.items() for c in cols),
+    "exper", "demo_raw", "web_clean", "master_t")
+register("table_profile", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS n_rows, CAST({len(cols)} AS BIGINT) "
+    f"AS n_columns, count(CASE WHEN {' AND '.join(c + ' IS NOT NULL' for c in cols)} "
+    f"THEN 1 END) AS n_complete_rows FROM {table}"
+    for name, (table, cols) in _PROFILED.items()),
+    "exper", "demo_raw", "web_clean", "master_t")
+register("null_age_by_arm", """
+SELECT variation, count(*) AS n FROM master_t
+WHERE clnt_age IS NULL AND variation IS NOT NULL GROUP BY variation
+""", "master_t")
+register("visitors_per_visit", """
+SELECT n_visitors, count(*) AS n_visits FROM (
+  SELECT visit_id, count(DISTINCT visitor_id) AS n_visitors FROM kpi_pop
+  WHERE visit_id IS NOT NULL GROUP BY visit_id)
+GROUP BY n_visitors
+""", "kpi_pop")
+register("client_trace", """
+SELECT client_id, variation, visitor_id, visit_id, process_step, date_time, event_seq,
+       step_num, is_error, attempt_no, finish
+FROM kev WHERE client_id = (
+  SELECT client_id FROM kev GROUP BY client_id ORDER BY count(*) DESC, client_id ASC LIMIT 1)
+""", "kev")
+
+# -- exports, sources and sinks -------------------------------------------------------------
+_EXPORT = """
+SELECT client_id, clnt_tenure_yr, clnt_age, gendr, variation, visit_id, process_step,
+       is_error, attempt_no, finish FROM kev
+"""
+register("tableau_export", _EXPORT, "kev")
+register("sink_roundtrip", _EXPORT, "kev")
+register("src_csv_typed", "SELECT * FROM web_clean", "web_clean")
+register("src_csv_semicolon", "SELECT * FROM pdur", "pdur")

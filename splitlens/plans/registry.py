@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import durations, funnel, kpis, sessions
+from ..operators import (balance, cleaning, dashboards, durations, funnel, kpis, profile,
+                         sessions, stats)
+from ..sources import csv
 from .pipeline import Stages
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -170,3 +172,193 @@ def _step_distribution_pct(s: Stages) -> DataFrame:
 @query("steps_crosstab")
 def _steps_crosstab(s: Stages) -> DataFrame:
     return funnel.steps_crosstab(s.merged_events)
+
+
+# -- populations and labels -------------------------------------------------------------
+@query("valid_groups")
+def _valid_groups(s: Stages) -> DataFrame:
+    return cleaning.valid_groups(s.master)
+
+
+@query("group_labels")
+def _group_labels(s: Stages) -> DataFrame:
+    return cleaning.group_labels(s.domain.experiment, s.demo_clean)
+
+
+@query("group_fold_sensitivity")
+def _group_fold_sensitivity(s: Stages) -> DataFrame:
+    return cleaning.group_fold_sensitivity(s.domain.experiment, s.demo_clean)
+
+
+# -- balance ------------------------------------------------------------------------------
+@query("balance_describe")
+def _balance_describe(s: Stages) -> DataFrame:
+    return balance.balance_describe(s.assigned_clients)
+
+
+@query("gender_crosstab")
+def _gender_crosstab(s: Stages) -> DataFrame:
+    return balance.gender_crosstab(s.assigned_clients)
+
+
+@query("balance_by_gender")
+def _balance_by_gender(s: Stages) -> DataFrame:
+    return balance.balance_by_gender(s.assigned_clients)
+
+
+@query("balance_boxplot")
+def _balance_boxplot(s: Stages) -> DataFrame:
+    return balance.balance_boxplot(s.assigned_clients)
+
+
+@query("histogram_age")
+def _histogram_age(s: Stages) -> DataFrame:
+    return balance.histogram(s.assigned_clients, "clnt_age")
+
+
+@query("histogram_tenure")
+def _histogram_tenure(s: Stages) -> DataFrame:
+    return balance.histogram(s.assigned_clients, "clnt_tenure_yr")
+
+
+@query("age_tenure_relation")
+def _age_tenure_relation(s: Stages) -> DataFrame:
+    return balance.age_tenure_relation(s.assigned_clients)
+
+
+# -- dashboards ---------------------------------------------------------------------------
+@query("duration_by_age")
+def _duration_by_age(s: Stages) -> DataFrame:
+    return dashboards.duration_by_age(s.completion_durations)
+
+
+@query("duration_by_gender")
+def _duration_by_gender(s: Stages) -> DataFrame:
+    return dashboards.duration_by_gender(s.completion_durations)
+
+
+@query("step_duration_by_arm")
+def _step_duration_by_arm(s: Stages) -> DataFrame:
+    return dashboards.step_duration_by_arm(s.process_durations)
+
+
+@query("step_duration_by_age")
+def _step_duration_by_age(s: Stages) -> DataFrame:
+    return dashboards.step_duration_by_age(s.process_durations)
+
+
+@query("step_duration_by_gender")
+def _step_duration_by_gender(s: Stages) -> DataFrame:
+    return dashboards.step_duration_by_gender(s.process_durations)
+
+
+@query("duration_log_distribution")
+def _duration_log_distribution(s: Stages) -> DataFrame:
+    return dashboards.duration_log_distribution(s.completion_durations)
+
+
+# -- tests ----------------------------------------------------------------------------------
+@query("ztest_completion")
+def _ztest_completion(s: Stages) -> DataFrame:
+    return stats.ztest_completion(s.kpi_events)
+
+
+@query("ztest_error_rate")
+def _ztest_error_rate(s: Stages) -> DataFrame:
+    return stats.ztest_error_rate(s.kpi_events)
+
+
+@query("welch_duration")
+def _welch_duration(s: Stages) -> DataFrame:
+    return stats.welch_duration_test(s.completion_durations)
+
+
+@query("arm_overlap")
+def _arm_overlap(s: Stages) -> DataFrame:
+    return stats.arm_overlap(s.kpi_events)
+
+
+# -- profiles -------------------------------------------------------------------------------
+@query("duplicate_counts")
+def _duplicate_counts(s: Stages) -> DataFrame:
+    return profile.duplicate_counts({
+        "web_pt1": (s.domain.web_pt1, None),
+        "web_pt2": (s.domain.web_pt2, None),
+        "web_log_clean": (s.web_log_clean, None),
+        "experiment": (s.domain.experiment, None),
+        "experiment_client_id": (s.domain.experiment, ["client_id"]),
+        "demographics_client_id": (s.demo_clean, ["client_id"]),
+    })
+
+
+@query("duplicate_rows")
+def _duplicate_rows(s: Stages) -> DataFrame:
+    return profile.duplicate_rows(s.domain.web_pt1, "web_pt1").unionByName(
+        profile.duplicate_rows(s.domain.web_pt2, "web_pt2"))
+
+
+@query("distinct_values")
+def _distinct_values(s: Stages) -> DataFrame:
+    return profile.distinct_values(s.master, ["variation", "process_step", "gendr"])
+
+
+def _profiled_tables(s: Stages) -> dict[str, DataFrame]:
+    return {"experiment": s.domain.experiment, "demographics": s.domain.demographics,
+            "web_log_clean": s.web_log_clean, "master": s.master}
+
+
+@query("null_profile")
+def _null_profile(s: Stages) -> DataFrame:
+    return profile.null_profile(_profiled_tables(s))
+
+
+@query("table_profile")
+def _table_profile(s: Stages) -> DataFrame:
+    return profile.table_profile(_profiled_tables(s))
+
+
+@query("null_age_by_arm")
+def _null_age_by_arm(s: Stages) -> DataFrame:
+    return profile.null_age_by_arm(s.master)
+
+
+@query("visitors_per_visit")
+def _visitors_per_visit(s: Stages) -> DataFrame:
+    return profile.visitors_per_visit(s.kpi_population)
+
+
+TRACE_COLUMNS = ["client_id", "variation", "visitor_id", "visit_id", "process_step",
+                 "date_time", "event_seq", "step_num", "is_error", "attempt_no", "finish"]
+
+
+@query("client_trace")
+def _client_trace(s: Stages) -> DataFrame:
+    return profile.client_trace(s.kpi_events, TRACE_COLUMNS)
+
+
+# -- exports, sources and sinks -------------------------------------------------------------
+EXPORT_COLUMNS = ["client_id", "clnt_tenure_yr", "clnt_age", "gendr", "variation", "visit_id",
+                  "process_step", "is_error", "attempt_no", "finish"]
+
+
+@query("tableau_export")
+def _tableau_export(s: Stages) -> DataFrame:
+    return s.kpi_events.select(*EXPORT_COLUMNS)
+
+
+@query("src_csv_typed")
+def _src_csv_typed(s: Stages) -> DataFrame:
+    path = csv.write_csv(s.web_log_clean, csv.stage_path(s.spark, "web_log_csv"))
+    return csv.read_csv_typed(s.spark, path, s.web_log_clean.schema, sep=",")
+
+
+@query("src_csv_semicolon")
+def _src_csv_semicolon(s: Stages) -> DataFrame:
+    path = csv.write_csv(s.process_durations, csv.stage_path(s.spark, "durations_csv"),
+                         sep=";")
+    return csv.read_csv_typed(s.spark, path, s.process_durations.schema, sep=";")
+
+
+@query("sink_roundtrip")
+def _sink_roundtrip(s: Stages) -> DataFrame:
+    return csv.write_parquet_stage(s.kpi_events.select(*EXPORT_COLUMNS), "tableau_export")
