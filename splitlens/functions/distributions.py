@@ -124,10 +124,16 @@ def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
             .when(x < (a + F.lit(1.0)) / (a + b + F.lit(2.0)), direct).otherwise(mirrored))
 
 
-def student_t_cdf(t: Column, df: Column) -> Column:
-    """P(T <= t) for Student's t with (possibly fractional) ``df`` degrees of freedom."""
-    x = df / (df + t * t)
-    half_tail = F.lit(0.5) * incomplete_beta(df / 2, F.lit(0.5), x)
+def student_t_cdf(t: Column, df: Column, x: Column | None = None,
+                  half_df: Column | None = None) -> Column:
+    """P(T <= t) for Student's t with (possibly fractional) ``df`` degrees of freedom.
+
+    ``x = df / (df + t^2)`` and ``half_df = df / 2`` may be passed as precomputed columns
+    so the (large) continued-fraction expression refers to plain columns.
+    """
+    x = df / (df + t * t) if x is None else x
+    half_df = df / 2 if half_df is None else half_df
+    half_tail = F.lit(0.5) * incomplete_beta(half_df, F.lit(0.5), x)
     return (F.when(t.isNull() | df.isNull(), F.lit(None))
             .when(t < 0, half_tail).otherwise(F.lit(1.0) - half_tail))
 

@@ -33,12 +33,14 @@ def two_proportion_ztest(counts: DataFrame, alpha: float = ALPHA) -> DataFrame:
     se = F.sqrt(pooled * (F.lit(1) - pooled)
                 * (F.try_divide(F.lit(1.0), F.col("n_test"))
                    + F.try_divide(F.lit(1.0), F.col("n_control"))))
-    z = F.try_divide(p_t - p_c, se)
-    p = norm_sf(z)
-    return one.select(
+    # two projections: the tail formula refers to z many times, so z is a column first
+    stat = one.select("n_test", "n_control", "x_test", "x_control", p_t.alias("_pt"),
+                      p_c.alias("_pc"), F.try_divide(p_t - p_c, se).alias("_z"))
+    p = norm_sf(F.col("_z"))
+    return stat.select(
         "n_test", "n_control", "x_test", "x_control",
-        stable(p_t).alias("p_test"), stable(p_c).alias("p_control"),
-        stable(z).alias("z_stat"), stable(p).alias("p_value"),
+        stable(F.col("_pt")).alias("p_test"), stable(F.col("_pc")).alias("p_control"),
+        stable(F.col("_z")).alias("z_stat"), stable(p).alias("p_value"),
         (p < F.lit(alpha)).alias("reject_h0"))
 
 
@@ -86,7 +88,9 @@ def welch_duration_test(completions: DataFrame, alpha: float = ALPHA,
                         value: str = "all_steps_dur_hr") -> DataFrame:
     """H3: one-sided Welch t-test, H1: mean_test < mean_control (lower tail)."""
     base = welch_duration(completions, value)
-    p = student_t_cdf(F.col("_t"), F.col("_df"))
+    base = base.withColumns({"_x": F.col("_df") / (F.col("_df") + F.col("_t") * F.col("_t")),
+                             "_a": F.col("_df") / 2})
+    p = student_t_cdf(F.col("_t"), F.col("_df"), F.col("_x"), F.col("_a"))
     return base.select(
         "n_test", "n_control", "mean_test", "mean_control", "var_test", "var_control",
         stable(F.col("_t")).alias("t_stat"), stable(F.col("_df")).alias("df"),

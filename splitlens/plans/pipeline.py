@@ -1,8 +1,13 @@
 """The analysis DAG from the driver tables to every stage table.
 
-``Stages`` builds each stage lazily and memoises the DataFrame (not its data), so a
-query that needs several stages shares one logical plan and Spark's exchange reuse
-removes repeated shuffles.  Nothing here triggers a job.
+``Stages`` builds each stage as a DataFrame and memoises it.  The stages that several
+queries read (the grouped web log, the merged and the flagged event tables, the visit
+durations) are *stage tables*: with ``materialize=True`` they are written once with a
+reliable ``checkpoint()`` into the shared folder named by ``spark.checkpoint.dir`` and
+read back.  That cuts the lineage (a lost executor recomputes from the stage table, not
+from the raw logs), keeps each downstream plan small, and lets every KPI read the flagged
+events instead of recomputing the ordered scans.  ``Stages.shared`` keeps one instance
+per (session, input folder, mode), so queries run in one session share the stage tables.
 """
 
 from __future__ import annotations
@@ -12,17 +17,37 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleaning, durations, sessions
+from ..session import checkpoint_dir
 from ..sources.fixtures import Domain, load_domain
 
 
 class Stages:
+    _shared: dict[tuple, "Stages"] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str, mode: str = "segmented",
-                 domain: Domain | None = None):
+                 domain: Domain | None = None, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
         self.mode = mode
+        self.materialize = materialize
         self._domain = domain
 
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str, mode: str = "segmented",
+               materialize: bool = True) -> "Stages":
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), mode,
+               materialize)
+        if key not in cls._shared:
+            cls._shared[key] = cls(spark, sf_dir, mode=mode, materialize=materialize)
+        return cls._shared[key]
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        """A stage table: reliably checkpointed when materialising, else left lazy."""
+        if not self.materialize:
+            return df
+        checkpoint_dir(self.spark)
+        return df.checkpoint(eager=True)
+
     @cached_property
     def domain(self) -> Domain:
         return self._domain or load_domain(self.spark, self.sf_dir)
@@ -34,7 +59,7 @@ class Stages:
 
     @cached_property
     def web_with_groups(self) -> DataFrame:
-        return cleaning.web_with_groups(self.web_log_clean, self.domain.experiment)
+        return self.stage(cleaning.web_with_groups(self.web_log_clean, self.domain.experiment))
 
     @cached_property
     def demo_clean(self) -> DataFrame:
@@ -46,11 +71,11 @@ class Stages:
 
     @cached_property
     def merged_events(self) -> DataFrame:
-        return cleaning.merged_events(self.demo_clean, self.web_with_groups)
+        return self.stage(cleaning.merged_events(self.demo_clean, self.web_with_groups))
 
     @cached_property
     def kpi_population(self) -> DataFrame:
-        return cleaning.kpi_population(self.demo_clean, self.web_with_groups)
+        return self.stage(cleaning.kpi_population(self.demo_clean, self.web_with_groups))
 
     @cached_property
     def assigned_clients(self) -> DataFrame:
@@ -59,11 +84,11 @@ class Stages:
     # -- sequences ---------------------------------------------------------------------
     @cached_property
     def kpi_events(self) -> DataFrame:
-        return sessions.kpi_events(self.kpi_population, self.mode)
+        return self.stage(sessions.kpi_events(self.kpi_population, self.mode))
 
     @cached_property
     def process_durations(self) -> DataFrame:
-        return durations.process_durations(self.merged_events, self.mode)
+        return self.stage(durations.process_durations(self.merged_events, self.mode))
 
     @cached_property
     def completion_durations(self) -> DataFrame:

@@ -23,9 +23,10 @@ def query(key: str):
     return deco
 
 
-def queries(mode: str = "segmented") -> dict[str, QueryFn]:
+def queries(mode: str = "segmented", materialize: bool = True) -> dict[str, QueryFn]:
+    """Bind every registered query to the session's shared stage tables."""
     def bind(fn):
-        return lambda spark, sf_dir: fn(Stages(spark, sf_dir, mode=mode))
+        return lambda spark, sf_dir: fn(Stages.shared(spark, sf_dir, mode, materialize))
     return {key: bind(fn) for key, fn in REGISTRY.items()}
 
 
