@@ -8,7 +8,7 @@ the same second have a deterministic order (SURVEY T4).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.steps import step_num
@@ -35,6 +35,13 @@ def error_flags(df: DataFrame, mode: str = "segmented") -> DataFrame:
             .drop("_prev_step", "_next_step", SEGMENT))
 
 
+def _opens(step, prev, nxt):
+    """The coded attempt rule for one row given its previous and next step."""
+    return (F.coalesce(step == 0, F.lit(False))
+            & (prev.isNull() | F.coalesce(prev == 4, F.lit(False)))
+            & F.coalesce(nxt != 0, F.lit(True)))
+
+
 def attempts(df: DataFrame, mode: str = "segmented") -> DataFrame:
     """Attempt number per client over all visits, the rule as coded.
 
@@ -43,16 +50,70 @@ def attempts(df: DataFrame, mode: str = "segmented") -> DataFrame:
     is the running count of such rows, 0 before the first one (SURVEY T7).
     Needs ``step_num`` (see :func:`error_flags`).
     """
-    d = neighbours(df, ["client_id"], ORDER, "step_num", "_prev", "_next",
-                   segment=_segment(), mode=mode)
-    opens = (F.coalesce(F.col("step_num") == 0, F.lit(False))
-             & (F.col("_prev").isNull() | F.coalesce(F.col("_prev") == 4, F.lit(False)))
-             & F.coalesce(F.col("_next") != 0, F.lit(True)))
-    d = d.withColumn("_opens", opens.cast("int"))
-    d = running_sum(d, ["client_id"], ORDER, "_opens", "attempt_no", segment=_segment(),
-                    mode=mode)
-    return (d.withColumn("attempt_no", F.col("attempt_no").cast("int"))
-            .drop("_prev", "_next", "_opens", SEGMENT))
+    if mode == "window":
+        d = neighbours(df, ["client_id"], ORDER, "step_num", "_prev", "_next", mode=mode)
+        d = d.withColumn("_opens", _opens(F.col("step_num"), F.col("_prev"),
+                                          F.col("_next")).cast("int"))
+        d = running_sum(d, ["client_id"], ORDER, "_opens", "attempt_no", mode=mode)
+        return (d.withColumn("attempt_no", F.col("attempt_no").cast("int"))
+                .drop("_prev", "_next", "_opens"))
+    return _attempts_segmented(df)
+
+
+def _attempts_segmented(df: DataFrame) -> DataFrame:
+    """Attempts with one segment summary: neighbours across segments and the running
+    attempt offset come from the same one-row-per-(client, day) table.
+
+    Inside a segment every row but the first and the last sees both neighbours, so its
+    flag and running sum are local.  The summary carries each segment's first, second,
+    second-to-last and last step, the local flag sum and the row count; a window over the
+    summary links segments, evaluates the two boundary flags and accumulates the offset.
+    """
+    keys = ["client_id", SEGMENT]
+    order = [F.col(c).asc_nulls_last() for c in ORDER]
+    w_in = Window.partitionBy(*keys).orderBy(*order)
+    run = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.col("step_num")
+    d = df.withColumn(SEGMENT, _segment()).withColumns({
+        "_prev_in": F.lag("step_num").over(w_in),
+        "_next_in": F.lead("step_num").over(w_in),
+        "_first": F.lag(F.lit(1)).over(w_in).isNull(),
+        "_last": F.lead(F.lit(1)).over(w_in).isNull()})
+    interior = ~F.col("_first") & ~F.col("_last")
+    local = F.when(interior, _opens(step, F.col("_prev_in"), F.col("_next_in")).cast("int")
+                   ).otherwise(F.lit(0))
+    d = d.withColumn("_local", local).withColumn("_run_local", F.sum("_local").over(run))
+
+    summary = d.groupBy(*keys).agg(
+        F.count("*").alias("_n"),
+        F.max(F.when(F.col("_first"), step)).alias("_s_first"),
+        F.max(F.when(F.col("_first"), F.col("_next_in"))).alias("_s_second"),
+        F.max(F.when(F.col("_last"), F.col("_prev_in"))).alias("_s_second_last"),
+        F.max(F.when(F.col("_last"), step)).alias("_s_last"),
+        F.sum("_local").alias("_s_local"))
+    w_seg = Window.partitionBy("client_id").orderBy(SEGMENT)
+    summary = summary.withColumns({
+        "_prev_seg": F.lag("_s_last").over(w_seg),
+        "_next_seg": F.lead("_s_first").over(w_seg)})
+    many = F.col("_n") > 1
+    first_open = _opens(F.col("_s_first"), F.col("_prev_seg"),
+                        F.when(many, F.col("_s_second")).otherwise(F.col("_next_seg")))
+    last_open = _opens(F.col("_s_last"), F.col("_s_second_last"), F.col("_next_seg"))
+    summary = summary.withColumns({
+        "_first_open": first_open.cast("int"),
+        "_last_open": F.when(many, last_open.cast("int")).otherwise(F.lit(0))})
+    summary = summary.select(
+        *keys, "_first_open", "_last_open",
+        F.coalesce(F.sum(F.col("_first_open") + F.col("_s_local") + F.col("_last_open"))
+                   .over(w_seg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        .alias("_offset"))
+    out = d.join(summary, keys, "left")
+    attempt = (F.col("_offset") + F.col("_first_open") + F.col("_run_local")
+               + F.when(F.col("_last") & ~F.col("_first"), F.col("_last_open"))
+               .otherwise(F.lit(0)))
+    return (out.withColumn("attempt_no", attempt.cast("int"))
+            .drop("_prev_in", "_next_in", "_first", "_last", "_local", "_run_local",
+                  "_first_open", "_last_open", "_offset", SEGMENT))
 
 
 def finish_flag(df: DataFrame) -> DataFrame:
