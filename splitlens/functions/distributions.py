@@ -29,7 +29,8 @@ _LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028,
             771.32342877765313, -176.61502916214059, 12.507343278686905,
             -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7]
 
-CF_TERMS = 200
+CF_TERMS = 200          # base number of continued-fraction steps ...
+CF_TERMS_PER_ROOT = 8   # ... plus this many per sqrt(max(a, b)); convergence needs O(sqrt)
 _FPMIN = 1e-300
 
 
@@ -111,7 +112,9 @@ def _betacf(a: Column, b: Column, x: Column) -> Column:
         c2 = tiny(F.lit(1.0) + aa2 / c)
         return F.struct(c2.alias("c"), d2.alias("d"), (h * d2 * c2).alias("h"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(CF_TERMS)), zero, step, lambda acc: acc["h"])
+    n = (F.lit(CF_TERMS) + F.lit(CF_TERMS_PER_ROOT)
+         * F.ceil(F.sqrt(F.greatest(a, b))).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda acc: acc["h"])
 
 
 def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
@@ -171,7 +174,8 @@ def _betacf_sql(a: str, b: str, x: str) -> str:
     c2 = tiny(f"(1.0e0 + {aa2} / {c})")
     step = f"{{'c': {c2}, 'd': {d2}, 'h': {h} * {d2} * {c2}}}"
     zero = f"{{'c': 1.0e0, 'd': {d0}, 'h': {d0}}}"
-    return f"(list_reduce(range(1, {CF_TERMS + 1}), lambda acc, m: {step}, {zero}).h)"
+    n = f"({CF_TERMS} + {CF_TERMS_PER_ROOT} * CAST(ceil(sqrt(greatest({a}, {b}))) AS INTEGER))"
+    return f"(list_reduce(range(1, {n} + 1), lambda acc, m: {step}, {zero}).h)"
 
 
 def incomplete_beta_sql(a: str, b: str, x: str) -> str:

@@ -31,3 +31,9 @@ def test_norm_sf(spark, z):
 def test_student_t_cdf(spark, t, df):
     got = spark.range(1).select(student_t_cdf(F.lit(t), F.lit(df)).alias("p")).first().p
     assert got == pytest.approx(t_cdf_numeric(t, df), abs=1e-8)
+
+
+@pytest.mark.parametrize("t,df", [(-2.5, 2.0e6), (1.9, 5.0e5)])
+def test_student_t_cdf_large_df_is_normal(spark, t, df):
+    got = spark.range(1).select(student_t_cdf(F.lit(t), F.lit(df)).alias("p")).first().p
+    assert got == pytest.approx(0.5 * math.erfc(-t / math.sqrt(2)), rel=1e-5)
