@@ -144,3 +144,19 @@ def age_tenure_relation(clients: DataFrame) -> DataFrame:
         F.count(F.when(F.col("clnt_age").isNotNull() & F.col("clnt_tenure_yr").isNotNull(), 1))
         .alias("n"),
         stable(F.corr("clnt_age", "clnt_tenure_yr")).alias("corr"))
+
+
+AGE_BIN_YEARS = 10
+TENURE_BIN_YEARS = 5
+
+
+def age_tenure_bins(clients: DataFrame, age_step: int = AGE_BIN_YEARS,
+                    tenure_step: int = TENURE_BIN_YEARS) -> DataFrame:
+    """The pair plot's joint distribution as 2-D binned counts per arm (lower bin
+    edges of age and tenure)."""
+    age_lo = (F.floor(F.col("clnt_age") / age_step) * age_step).cast("long")
+    ten_lo = (F.floor(F.col("clnt_tenure_yr") / tenure_step) * tenure_step).cast("long")
+    return (assigned(clients)
+            .where(F.col("clnt_age").isNotNull() & F.col("clnt_tenure_yr").isNotNull())
+            .groupBy("variation", age_lo.alias("age_bin"), ten_lo.alias("tenure_bin"))
+            .agg(F.count("*").alias("n")))

@@ -131,3 +131,28 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
     seg_keys = d.select(*keys, SEGMENT).distinct()
     seg_vals = seg_keys.join(per_key, list(keys), "inner")
     return d.join(seg_vals, [*keys, SEGMENT], "left")
+
+
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
+                  name: str, segment: Column | None = None,
+                  mode: str = "segmented") -> DataFrame:
+    """Add the last non-null ``value`` among the rows strictly before each row of its key
+    (a forward fill shifted by one row)."""
+    before = Window.unboundedPreceding, -1
+    if mode == "window" or segment is None:
+        w = Window.partitionBy(*keys).orderBy(*_window_order(order)).rowsBetween(*before)
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+
+    d = (df if SEGMENT in df.columns else add_segment(df, segment)).withColumn("_cv", value)
+    w_in = (Window.partitionBy(*keys, SEGMENT).orderBy(*_window_order(order))
+            .rowsBetween(*before))
+    d = d.withColumn("_cf_in", F.last("_cv", ignorenulls=True).over(w_in))
+    summary = d.groupBy(*keys, SEGMENT).agg(
+        F.max_by("_cv", F.when(F.col("_cv").isNotNull(), _struct_order(order)))
+        .alias("_seg_last"))
+    w_seg = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(*before)
+    summary = summary.select(*keys, SEGMENT,
+                             F.last("_seg_last", ignorenulls=True).over(w_seg).alias("_carry"))
+    out = d.join(summary, [*keys, SEGMENT], "left")
+    return (out.withColumn(name, F.coalesce(F.col("_cf_in"), F.col("_carry")))
+            .drop("_cv", "_cf_in", "_carry"))

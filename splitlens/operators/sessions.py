@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.steps import step_num
-from .sequence import SEGMENT, neighbours, running_sum, time_segment, with_group_stats
+from .sequence import (SEGMENT, carry_forward, neighbours, running_sum, time_segment,
+                       with_group_stats)
 
 ORDER = ["date_time", "event_seq"]
 
@@ -60,6 +61,27 @@ def attempts(df: DataFrame, mode: str = "segmented") -> DataFrame:
     return _attempts_segmented(df)
 
 
+def attempts_documented(df: DataFrame, mode: str = "segmented") -> DataFrame:
+    """W3-W6, the rule as documented: a run of consecutive
+    starts collapses to its last start, which opens an attempt when the step before the
+    run is ``confirm`` or there is none.  (An unknown step before the run counts as a
+    missing one, as in the coded rule.)  Needs ``step_num``."""
+    step = F.col("step_num")
+    not_start = F.when(F.coalesce(step != 0, F.lit(True)), F.coalesce(step, F.lit(-1)))
+    d = carry_forward(df, ["client_id"], ORDER, not_start, "_before_run", segment=_segment(),
+                      mode=mode)
+    d = neighbours(d, ["client_id"], ORDER, "step_num", "_prev", "_next", segment=_segment(),
+                   mode=mode)
+    opens = (F.coalesce(step == 0, F.lit(False))
+             & F.coalesce(F.col("_next") != 0, F.lit(True))
+             & (F.col("_before_run").isNull() | F.col("_before_run").isin(4, -1)))
+    d = d.withColumn("_opens", opens.cast("int"))
+    d = running_sum(d, ["client_id"], ORDER, "_opens", "attempt_no", segment=_segment(),
+                    mode=mode)
+    return (d.withColumn("attempt_no", F.col("attempt_no").cast("int"))
+            .drop("_before_run", "_prev", "_next", "_opens", SEGMENT))
+
+
 def _attempts_segmented(df: DataFrame) -> DataFrame:
     """Attempts with one segment summary: neighbours across segments and the running
     attempt offset come from the same one-row-per-(client, day) table.

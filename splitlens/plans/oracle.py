@@ -208,6 +208,20 @@ FROM err_step GROUP BY step_num
 """, "err_step")
 register("error_summary", "SELECT * FROM err_sum", "err_sum")
 register("attempts", "SELECT client_id, event_seq, step_num, attempt_no FROM kev", "kev")
+register("attempts_documented", f"""
+SELECT client_id, event_seq, step_num,
+       CAST(sum(opens) OVER (PARTITION BY client_id ORDER BY {ORD}
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS attempt_no
+FROM (SELECT *, CAST(coalesce(step_num = 0, false)
+                     AND coalesce(lead(step_num) OVER wc <> 0, true)
+                     AND (before_run IS NULL OR before_run IN (4, -1)) AS INTEGER) AS opens
+      FROM (SELECT *, last_value(CASE WHEN coalesce(step_num <> 0, true)
+                                      THEN coalesce(step_num, -1) END IGNORE NULLS)
+                      OVER (PARTITION BY client_id ORDER BY {ORD}
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_run
+            FROM flags)
+      WINDOW wc AS (PARTITION BY client_id ORDER BY {ORD}))
+""", "flags")
 register("finishers", """
 SELECT client_id, variation, visit_id, date_time, event_seq, attempt_no FROM kev WHERE finish
 """, "kev")
@@ -446,6 +460,14 @@ SELECT variation,
 FROM assigned WHERE variation IS NOT NULL GROUP BY variation
 """, "assigned")
 
+register("age_tenure_bins", """
+SELECT variation, CAST(floor(clnt_age / 10) * 10 AS BIGINT) AS age_bin,
+       CAST(floor(clnt_tenure_yr / 5) * 5 AS BIGINT) AS tenure_bin, count(*) AS n
+FROM assigned
+WHERE variation IS NOT NULL AND clnt_age IS NOT NULL AND clnt_tenure_yr IS NOT NULL
+GROUP BY 1, 2, 3
+""", "assigned")
+
 # -- dashboards ---------------------------------------------------------------------------
 _BAND_RIGHT = ("CASE WHEN clnt_age <= 30 THEN '<=30' WHEN clnt_age <= 50 THEN '30-50' "
                "WHEN clnt_age <= 60 THEN '50-60' WHEN clnt_age > 60 THEN '>60' END")

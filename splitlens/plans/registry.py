@@ -88,6 +88,13 @@ def _attempts(s: Stages) -> DataFrame:
     return s.kpi_events.select("client_id", "event_seq", "step_num", "attempt_no")
 
 
+@query("attempts_documented")
+def _attempts_documented(s: Stages) -> DataFrame:
+    flagged = sessions.error_flags(s.kpi_population, s.mode)
+    return sessions.attempts_documented(flagged, s.mode).select(
+        "client_id", "event_seq", "step_num", "attempt_no")
+
+
 @query("finishers")
 def _finishers(s: Stages) -> DataFrame:
     return kpis.finishers(s.kpi_events)
@@ -227,6 +234,11 @@ def _age_tenure_relation(s: Stages) -> DataFrame:
     return balance.age_tenure_relation(s.assigned_clients)
 
 
+@query("age_tenure_bins")
+def _age_tenure_bins(s: Stages) -> DataFrame:
+    return balance.age_tenure_bins(s.assigned_clients)
+
+
 # -- dashboards ---------------------------------------------------------------------------
 @query("duration_by_age")
 def _duration_by_age(s: Stages) -> DataFrame:

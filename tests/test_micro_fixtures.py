@@ -145,3 +145,21 @@ def test_one_arm_gives_null_statistics(spark):
     df = web(spark, [0, 1, 2, 3, 4]).withColumn("variation", F.lit("Control"))
     out = stats.ztest_completion(sessions.kpi_events(df)).collect()[0]
     assert out.z_stat is None and out.p_value is None
+
+
+def documented(df, mode):
+    flagged = sessions.error_flags(df, mode)
+    return sessions.attempts_documented(flagged, mode).orderBy("date_time", "event_seq")
+
+
+@pytest.mark.parametrize("mode", MODES)
+@pytest.mark.parametrize("steps,expected", [
+    ([0, 0, 1, 2, 3, 4], [0, 1, 1, 1, 1, 1]),
+    ([0, 1, 2, 3, 4, 0, 0, 1, 2, 3, 4], [1] * 6 + [2] * 5),
+    ([0, 1, 2, 3, 4, 0, 1, 2, 3, 4], [1] * 5 + [2] * 5),
+    ([1, 2, 0, 1, 4, 0, 0, 0], [0, 0, 0, 0, 0, 0, 0, 1]),
+])
+def test_documented_attempt_rule(spark, mode, steps, expected):
+    # one event per day, so in segmented mode every row is its own segment
+    df = web(spark, steps, seconds=[86400 * i for i in range(len(steps))])
+    assert [r.attempt_no for r in documented(df, mode).collect()] == expected
