@@ -42,13 +42,12 @@ def demo_clean(demographics: DataFrame) -> DataFrame:
     """Drop rows without tenure, impute a missing age with the mean age of the
     female clients that remain (P6, P9).
 
-    The mean is a global aggregate (exactly one row), so broadcasting it is size-safe.
+    The mean is a scalar subquery (one global partial aggregate, evaluated once and
+    shipped to the tasks as a value), so no join is involved.
     """
     kept = demographics.where(F.col("clnt_tenure_yr").isNotNull())
-    mean_f = kept.where(F.col("gendr") == "F").agg(F.avg("clnt_age").alias("_mean_age_f"))
-    return (kept.crossJoin(F.broadcast(mean_f))
-            .withColumn("clnt_age", F.coalesce(F.col("clnt_age"), F.col("_mean_age_f")))
-            .drop("_mean_age_f"))
+    mean_f = kept.where(F.col("gendr") == "F").agg(F.avg("clnt_age")).scalar()
+    return kept.withColumn("clnt_age", F.coalesce(F.col("clnt_age"), mean_f))
 
 
 def master(demo: DataFrame, web_groups: DataFrame) -> DataFrame:

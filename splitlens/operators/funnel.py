@@ -60,11 +60,10 @@ def step_distribution(merged: DataFrame) -> DataFrame:
 
 
 def step_distribution_pct(merged: DataFrame) -> DataFrame:
-    """A4: the same distribution normalised to shares (total from a one-row aggregate)."""
+    """A4: the same distribution normalised to shares (total as a scalar subquery)."""
     dist = step_distribution(merged)
-    total = dist.agg(F.sum("n_clients").alias("_total"))
-    return (dist.crossJoin(F.broadcast(total))
-            .withColumn("share", F.col("n_clients") / F.col("_total")).drop("_total"))
+    total = dist.agg(F.sum("n_clients")).scalar()
+    return dist.withColumn("share", F.col("n_clients") / total)
 
 
 def steps_crosstab(merged: DataFrame) -> DataFrame:
