@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitlens.llm import quality_rules
+from splitlens.llm import ngram_join, quality_rules
 from splitlens.llm.staging import prepare, staged
 
 
@@ -19,8 +19,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep_good(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join."""
+    prepare(spark)
+    return ngram_join.keep_one(docs)
+
+
 STAGES = [
     ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
 ]
 
 #: SQL cannot express the token measures of the first stage; tests hold ``run`` against brute

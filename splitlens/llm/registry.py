@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import ngram_join, quality_rules
 from .staging import documents
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +29,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = ["script", "n_tokens", "chars_per_token", "fallback_share", "token_entropy"]
     return docs.select("doc_id", *(F.col(f"quality.{c}") for c in base), "base_failed", "kept",
                        *(F.col(f"quality.{c}") for c in more))
+
+
+@query("op9_ngram_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
