@@ -5,9 +5,11 @@
    ``n - ceil(t n) + 1`` of each: the prefix.
 2. *Group.* Documents of equal sets are one class; classes of equal size and equal prefix are
    one group. The index holds groups.
-3. *Filter.* A shingle in the prefixes of two groups ties each of them to the least one, so a
-   shingle of m groups makes m - 1 rows, never m squared. Their connected components are the
-   candidate sets: no link crosses them.
+3. *Filter.* Where a shingle is in the prefixes of at most ``FEW`` groups, their pairs are
+   compared by size and by position (what is left after the shared shingle must suffice), in one
+   sorted pass. A shingle of more groups ties each of them to the least one, so m groups make
+   m - 1 rows, never m squared. The connected components of both are the candidate sets: no
+   link crosses them.
 4. *Expand and verify.* The classes of a candidate set are dealt by hash into blocks of bounded
    size, and every pair of blocks is one task that counts the common shingles of all its pairs
    of classes exactly (a product of 0/1 matrices). It returns a row per class: its number of
@@ -31,6 +33,8 @@ from . import words as W
 from .components import connected_components
 from .staging import staged
 
+#: Groups of one shingle up to which their pairs are looked at one by one.
+FEW = 32
 #: Bounds of a block: classes, and shingles of all its classes together.
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 17
 _RUNTIME_FILTER = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
@@ -40,28 +44,67 @@ def _set_key(found: np.ndarray) -> bytes:
     return blake2b(found.tobytes(), digest_size=16).digest()
 
 
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    flat = np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
 def _prefixes(table, percent: int, k: int):
-    """Per document: size and key of its set, its group, and the prefix."""
+    """Per document: size and key of its set, its group, and the prefix in order: first the
+    shingles of frequency class 0 (``rare``), then the others (``common``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = frequency.unpack(table.value)
         for batch in batches:
-            n, keys, groups, lens, tokens = [], [], [], [], []
+            n, keys, groups, rare, common = [], [], [], [], []
             for found in W.shingle_sets(batch.column("text"), k):
                 size = len(found)
                 p = size - (percent * size + 99) // 100 + 1 if size else 0
-                ranked = found[np.argsort(order[frequency.cells(found)], kind="stable")]
-                prefix = np.sort(ranked[:p])
+                rank = order[frequency.cells(found)]
+                at = np.argsort(rank, kind="stable")[:p]
+                prefix, c = found[at], int((rank[at] == 0).sum())
                 n.append(size)
                 keys.append(_set_key(found))
                 groups.append(int.from_bytes(blake2b(prefix.tobytes() + size.to_bytes(8, "big"), digest_size=8).digest(), "big", signed=True))
-                lens.append(p)
-                tokens.append(prefix)
-            flat = np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+                rare.append(prefix[:c])
+                common.append(prefix[c:])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "row_id", "text_hash", "n", "set_key", "grp", "prefix"])
+                 pa.array(groups, pa.int64()), _lists(rare), _lists(common)],
+                names=["doc_id", "row_id", "text_hash", "n", "set_key", "grp", "rare", "common"])
+    return run
+
+
+def _pairs(percent: int, few: int):
+    """Pairs of groups that share a token, from rows sorted by token and size: those that pass
+    the length and the positional filter. A run of more than ``few`` groups is tied together as
+    a chain instead, so no more than ``few`` rows are held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, held, over = None, [], False
+        for batch in batches:
+            tokens, groups, sizes, places = (batch.column(c).to_numpy() for c in ("token", "grp", "n", "pos"))
+            again = np.concatenate([[len(tokens) > 0 and tokens[0] == token], tokens[1:] == tokens[:-1]])
+            u, v = [], []
+            if len(tokens) and not again[0]:
+                held, over = [], False
+            for i in np.flatnonzero(again | np.append(again[1:], True)):
+                if not again[i]:
+                    held, over = [], False
+                g, n, rest = int(groups[i]), int(sizes[i]), int(sizes[i] - places[i])
+                if over or len(held) >= few:
+                    chain = [x[0] for x in held] + [g]
+                    u += chain[:-1]
+                    v += chain[1:]
+                    held, over = [(g, n, rest)], True
+                    continue
+                for h, m, left in held:
+                    if h != g and percent * n <= 100 * m and (100 + percent) * min(rest, left) >= percent * (n + m):
+                        u.append(h)
+                        v.append(g)
+                held.append((g, n, rest))
+            if len(tokens):
+                token = tokens[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
     return run
 
 
@@ -140,7 +183,7 @@ def _ids(docs: DataFrame) -> DataFrame:
         "row_id", F.coalesce(F.col("doc_id").cast("long"), "text_hash"))
 
 
-def classes(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, percent: int = 80, k: int = 5, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """``(rows, linked)``: a row per document with its set, and the sets that have links.
 
     ``rows``: doc_id, row_id, text_hash, n (distinct shingles), set_key, grp. ``linked``:
@@ -152,10 +195,17 @@ def classes(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFrame,
     ids = _ids(docs)
     table = spark.sparkContext.broadcast(frequency.classes(docs, "text", k))
     rows = staged(ids.mapInArrow(_prefixes(table, percent, k), "doc_id long, row_id long, text_hash long, n long, set_key binary, "
-                                 "grp long, prefix array<long>"), "prefixes")
-    tokens = rows.select("grp", F.explode("prefix").alias("token"))
-    least = tokens.groupBy("token").agg(F.min("grp").alias("u"), F.max("grp").alias("top")).where("u < top").select("token", "u")
-    ties = staged(tokens.withColumnRenamed("grp", "v").join(least, "token").where("u <> v").select("u", "v").distinct(), "ties")
+                                 "grp long, rare array<long>, common array<long>"), "prefixes")
+    rare = rows.select("grp", "n", F.posexplode("rare").alias("pos", "token"))
+    common = rows.select("grp", "n", F.size("rare").alias("before"), F.posexplode("common").alias("at", "token")).select(
+        "grp", "n", (F.col("before") + F.col("at")).alias("pos"), "token").distinct()
+    counted = common.groupBy("token").agg(F.count("*").alias("m"), F.min("grp").alias("least")).where("m > 1")
+    common = staged(common.join(counted, "token"), "common")
+    short = common.where(F.col("m") <= few).select("grp", "n", "pos", "token")
+    pairs = (rare.union(short).repartition("token").sortWithinPartitions("token", "n", "grp")
+             .mapInArrow(_pairs(percent, few), "u long, v long"))
+    many = common.where((F.col("m") > few) & (F.col("grp") != F.col("least"))).select(F.col("least").alias("u"), F.col("grp").alias("v"))
+    ties = staged(pairs.union(many).distinct(), "ties")
     parts = connected_components(ties).select(F.col("node").alias("grp"), F.col("component").alias("part"))
 
     sets = rows.where("n > 0").groupBy("set_key").agg(F.min("row_id").alias("row_id"), F.count("*").alias("copies"),
@@ -174,10 +224,10 @@ def classes(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFrame,
     links = staged(found.groupBy("tile").applyInPandas(_verify(percent), "u binary, v binary, links long"), "links")
     joined = connected_components(links).select(F.col("node").alias("set_key"), "component")
     linked = joined.join(links.groupBy(F.col("u").alias("set_key")).agg(F.sum("links").alias("links")), "set_key")
-    return rows.drop("prefix"), staged(linked, "linked")
+    return rows.drop("rare", "common"), staged(linked, "linked")
 
 
-def join(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+def join(docs: DataFrame, percent: int = 80, k: int = 5, few: int = FEW) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A text of 1 to ``k - 1`` words is
@@ -185,7 +235,7 @@ def join(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     Equal sets are linked, repeated rows too. ``component_id`` is the least doc_id (nulls aside)
     reachable by links; ``n_links`` counts the other rows linked to a row directly.
     """
-    rows, linked = classes(docs, percent, k)
+    rows, linked = classes(docs, percent, k, few)
     sets = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     top = (linked.join(sets, "set_key").groupBy("component").agg(F.min("first_id").alias("component_id")))
     named = linked.join(top, "component").select("set_key", "component_id", "links")

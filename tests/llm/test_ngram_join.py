@@ -60,7 +60,9 @@ def test_chains_blocks_and_passages(spark, monkeypatch):
     texts += [texts[3]] * 5 + [passage, passage.upper(), "a b", "A b", "a b c"]
     docs = list(enumerate(texts))
     rng.shuffle(docs)
-    check(J.join(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    check(J.join(df).collect(), docs)
+    check(J.join(df, few=3).collect(), docs)
 
 
 def test_awkward_rows(spark):
