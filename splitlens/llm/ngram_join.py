@@ -1,15 +1,16 @@
 """Grouped prefix join: documents linked by the Jaccard similarity of their word shingles.
 
 1. *Order.* Shingles are ordered by document frequency, rare ones first (``frequency``), ties
-   by hash. Two sets of similarity ``t`` or more share a shingle among the first
-   ``n - ceil(t n) + 1`` of each: the prefix.
+   by hash. Two sets of similarity ``t`` or more share at least ``l`` shingles among the first
+   ``n - ceil(t n) + l`` of each: the prefix. ``l`` is ``EXTRA`` percent of the size.
 2. *Group.* Documents of equal sets are one class; classes of equal size and equal prefix are
    one group. The index holds groups.
-3. *Filter.* Where a shingle is in the prefixes of at most ``FEW`` groups, their pairs are
-   compared by size and by position (what is left after the shared shingle must suffice), in one
-   sorted pass. A shingle of more groups ties each of them to the least one, so m groups make
-   m - 1 rows, never m squared. The connected components of both are the candidate sets: no
-   link crosses them.
+3. *Filter.* Shingles in the prefix of one group alone are dropped in one sorted pass, then
+   groups left with fewer than ``l``. Where a shingle is in at most ``FEW`` groups, their pairs
+   of fitting size are counted, and a pair with too few common shingles for the places where
+   the two prefixes end is dropped. A shingle of more groups ties each of them to the least
+   one, so m groups make m - 1 rows, never m squared. The connected components of both are the
+   candidate sets: no link crosses them.
 4. *Expand and verify.* The classes of a candidate set are dealt by hash into blocks of bounded
    size, and every pair of blocks is one task that counts the common shingles of all its pairs
    of classes exactly (a product of 0/1 matrices). It returns a row per class: its number of
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,10 @@ from . import words as W
 from .components import connected_components
 from .staging import staged
 
-#: Groups of one shingle up to which their pairs are looked at one by one.
+#: Groups of one shingle up to which their pairs are counted one by one.
 FEW = 32
+#: Common prefix shingles asked of a pair, in percent of the size; prefixes get longer by it.
+EXTRA = 6
 #: Bounds of a block: classes, and shingles of all its classes together.
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 17
 _RUNTIME_FILTER = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
@@ -59,7 +63,7 @@ def _prefixes(table, percent: int, k: int):
             n, keys, groups, rare, common = [], [], [], [], []
             for found in W.shingle_sets(batch.column("text"), k):
                 size = len(found)
-                p = size - (percent * size + 99) // 100 + 1 if size else 0
+                p = size - (percent * size + 99) // 100 + max(1, EXTRA * size // 100) if size else 0
                 rank = order[frequency.cells(found)]
                 at = np.argsort(rank, kind="stable")[:p]
                 prefix, c = found[at], int((rank[at] == 0).sum())
@@ -75,37 +79,25 @@ def _prefixes(table, percent: int, k: int):
     return run
 
 
-def _pairs(percent: int, few: int):
-    """Pairs of groups that share a token, from rows sorted by token and size: those that pass
-    the length and the positional filter. A run of more than ``few`` groups is tied together as
-    a chain instead, so no more than ``few`` rows are held."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, held, over = None, [], False
-        for batch in batches:
-            tokens, groups, sizes, places = (batch.column(c).to_numpy() for c in ("token", "grp", "n", "pos"))
-            again = np.concatenate([[len(tokens) > 0 and tokens[0] == token], tokens[1:] == tokens[:-1]])
-            u, v = [], []
-            if len(tokens) and not again[0]:
-                held, over = [], False
-            for i in np.flatnonzero(again | np.append(again[1:], True)):
-                if not again[i]:
-                    held, over = [], False
-                g, n, rest = int(groups[i]), int(sizes[i]), int(sizes[i] - places[i])
-                if over or len(held) >= few:
-                    chain = [x[0] for x in held] + [g]
-                    u += chain[:-1]
-                    v += chain[1:]
-                    held, over = [(g, n, rest)], True
-                    continue
-                for h, m, left in held:
-                    if h != g and percent * n <= 100 * m and (100 + percent) * min(rest, left) >= percent * (n + m):
-                        u.append(h)
-                        v.append(g)
-                held.append((g, n, rest))
-            if len(tokens):
-                token = tokens[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-    return run
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token and group, without repeats: those whose token has two groups or
+    more. One row is held from batch to batch."""
+    token, group = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    shared = np.zeros(0, bool)  # whether the held row's token has another group before it
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            token = np.concatenate([token, batch.column("token").to_numpy()])
+            group = np.concatenate([group, batch.column("grp").to_numpy()])
+        if not len(token):
+            continue
+        new = np.append(True, (token[1:] != token[:-1]) | (group[1:] != group[:-1]))
+        token, group = token[new], group[new]
+        same = np.append(False, token[1:] == token[:-1])
+        same[0] = bool(len(shared) and shared[0])
+        keep = same | np.append(same[1:], False)
+        end = len(token) if batch is None else len(token) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(token[:end][keep[:end]]), pa.array(group[:end][keep[:end]])], names=["token", "grp"])
+        token, group, shared = token[end:], group[end:], same[end:]
 
 
 def _tiles(k: int):
@@ -196,16 +188,25 @@ def classes(docs: DataFrame, percent: int = 80, k: int = 5, few: int = FEW) -> t
     table = spark.sparkContext.broadcast(frequency.classes(docs, "text", k))
     rows = staged(ids.mapInArrow(_prefixes(table, percent, k), "doc_id long, row_id long, text_hash long, n long, set_key binary, "
                                  "grp long, rare array<long>, common array<long>"), "prefixes")
-    rare = rows.select("grp", "n", F.posexplode("rare").alias("pos", "token"))
-    common = rows.select("grp", "n", F.size("rare").alias("before"), F.posexplode("common").alias("at", "token")).select(
-        "grp", "n", (F.col("before") + F.col("at")).alias("pos"), "token").distinct()
-    counted = common.groupBy("token").agg(F.count("*").alias("m"), F.min("grp").alias("least")).where("m > 1")
-    common = staged(common.join(counted, "token"), "common")
-    short = common.where(F.col("m") <= few).select("grp", "n", "pos", "token")
-    pairs = (rare.union(short).repartition("token").sortWithinPartitions("token", "n", "grp")
-             .mapInArrow(_pairs(percent, few), "u long, v long"))
-    many = common.where((F.col("m") > few) & (F.col("grp") != F.col("least"))).select(F.col("least").alias("u"), F.col("grp").alias("v"))
-    ties = staged(pairs.union(many).distinct(), "ties")
+    rare = (rows.select("grp", F.explode("rare").alias("token")).repartition("token").sortWithinPartitions("token", "grp")
+            .mapInArrow(_shared, "token long, grp long"))
+    common = rows.select("grp", F.explode("common").alias("token")).distinct()
+    live = staged(rare.union(common.select("token", "grp")), "live")
+    sizes = rows.where("n > 0").groupBy("grp").agg(F.first("n").alias("n"))
+    least = F.expr(f"greatest(1, n * {EXTRA} div 100)")
+    whole = live.groupBy("grp").agg(F.count("*").alias("c")).join(sizes, "grp").where(F.col("c") >= least).select("grp", "n", least.alias("l"))
+    live = staged(live.join(whole, "grp"), "live")
+    counted = live.groupBy("token").agg(F.count("*").alias("m"), F.min("grp").alias("first")).where("m > 1")
+    live = live.join(counted, "token")
+    many = live.where((F.col("m") > few) & (F.col("grp") != F.col("first"))).select(F.col("first").alias("u"), F.col("grp").alias("v"))
+    short = live.where(F.col("m") <= few)
+    a = short.select("token", *(F.col(c).alias(f"{c}_a") for c in ("grp", "n", "l")))
+    b = short.select("token", *(F.col(c).alias(f"{c}_b") for c in ("grp", "n", "l")))
+    rest = [F.ceil(percent * F.col(f"n_{x}") / 100) - F.col(f"l_{x}") for x in "ab"]
+    pairs = (a.join(b, "token").where(f"grp_a < grp_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+             .groupBy("grp_a", "grp_b", "n_a", "n_b", "l_a", "l_b").agg(F.count("*").alias("c"))
+             .where(F.col("c") >= F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent)) - F.greatest(*rest)))
+    ties = staged(pairs.select(F.col("grp_a").alias("u"), F.col("grp_b").alias("v")).union(many).distinct(), "ties")
     parts = connected_components(ties).select(F.col("node").alias("grp"), F.col("component").alias("part"))
 
     sets = rows.where("n > 0").groupBy("set_key").agg(F.min("row_id").alias("row_id"), F.count("*").alias("copies"),
