@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitlens.llm import ngram_join, quality_rules
+from splitlens.llm import ngram_join, quality_rules, suffix_dedup
 from splitlens.llm.staging import prepare, staged
 
 
@@ -25,9 +25,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return ngram_join.keep_one(docs)
 
 
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 100-byte strings that an earlier document, or place, has."""
+    prepare(spark)
+    return suffix_dedup.without_repeats(docs)
+
+
 STAGES = [
     ("quality rules", quality_stage),
     ("n-gram Jaccard join", near_duplicate_stage),
+    ("suffix-array dedup", repeats_stage),
 ]
 
 #: SQL cannot express the token measures of the first stage; tests hold ``run`` against brute

@@ -240,9 +240,9 @@ def join(docs: DataFrame, percent: int = 80, k: int = 5, few: int = FEW) -> Data
     sets = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     top = (linked.join(sets, "set_key").groupBy("component").agg(F.min("first_id").alias("component_id")))
     named = linked.join(top, "component").select("set_key", "component_id", "links")
-    sets = sets.join(named, "set_key", "left").select(
+    sets = staged(sets.join(named, "set_key", "left").select(
         "set_key", F.when(F.col("links").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
-        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
     none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return rows.where("n > 0").join(sets, "set_key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").union(none)
 
