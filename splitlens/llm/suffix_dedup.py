@@ -13,8 +13,8 @@ sorted:
 3. These go to shards by anchor, of bounded size. Each shard's suffix array is made by induced
    sorting, and permuted common prefixes give the classes of equal strings; all but the first
    of a class are repeats. An anchor of more than ``HOT`` different regions (a passage in very
-   many documents) goes string by string through a grouped minimum instead, so no shard
-   gathers it.
+   many documents) is salted over several shards, and the first string of each class in each
+   of them goes through a grouped minimum over all.
 4. Each document's repeats are joined with its text and cut out.
 """
 
@@ -157,40 +157,29 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(held[:1 if several else 0], held[:0])
 
 
-def _texts(shards: int):
-    """Cut the regions of a document out of its text, each for the shard of its anchor."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = W.text_bytes(batch.column("text"))
-            shard, rid, start, text = [], [], [], []
-            for i, (r, found) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("found").to_pylist())):
-                own = data[offs[i]:offs[i + 1]]
-                for x in found:
-                    part = own[x["start"]:x["start"] + x["strings"] + MATCH - 1]
-                    if len(part) >= MATCH:
-                        shard.append(x["anchor"] % shards)
-                        rid.append(r)
-                        start.append(x["start"])
-                        text.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(rid, pa.int64()), pa.array(start, pa.int64()),
-                                              pa.array(text, pa.binary())], names=["shard", "rid", "start", "text"])
-    return run
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of the regions of hot anchors."""
-    for batch in _texts(1)(batches):
-        rid, start, text = [], [], []
-        for r, s, t in zip(*(batch.column(c).to_pylist() for c in ("rid", "start", "text"))):
-            n = len(t) - MATCH + 1
-            rid += [r] * n
-            start += range(s, s + n)
-            text += [t[k:k + MATCH] for k in range(n)]
-        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(start, pa.int64()), pa.array(text, pa.binary())], names=["rid", "start", "text"])
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the regions of a document out of its text, each for its shard."""
+    for batch in batches:
+        data, offs = W.text_bytes(batch.column("text"))
+        shard, salted, rid, start, text = [], [], [], [], []
+        for i, (r, found) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("found").to_pylist())):
+            own = data[offs[i]:offs[i + 1]]
+            for x in found:
+                part = own[x["start"]:x["start"] + x["strings"] + MATCH - 1]
+                if len(part) >= MATCH:
+                    shard.append(x["shard"])
+                    salted.append(x["salted"])
+                    rid.append(r)
+                    start.append(x["start"])
+                    text.append(part.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(salted, pa.bool_()), pa.array(rid, pa.int64()),
+                                          pa.array(start, pa.int64()), pa.array(text, pa.binary())], names=["shard", "salted", "rid", "start", "text"])
 
 
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The repeats among a shard's regions, by suffix array and common prefixes."""
+    """The repeats among a shard's regions, by suffix array and common prefixes. A salted shard
+    also gives its first strings, which may be repeats of another shard's."""
+    salted = bool(pdf["salted"].iloc[0])
     pdf = pdf.drop_duplicates(["rid", "start"]).sort_values(["rid", "start"])
     length = pdf["text"].str.len().to_numpy()
     raw = np.frombuffer(b"\xff".join(pdf["text"]) + b"\xff", np.uint8)  # a byte that no text has
@@ -208,7 +197,13 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
     again = order[order != least[group]]
     r = region[again]
     rid, start, strings = _runs(pdf["rid"].to_numpy()[r], pdf["start"].to_numpy()[r] + within[again], np.ones(len(r), np.int64))
-    return pd.DataFrame({"rid": rid, "start": start, "strings": strings})
+    out = pd.DataFrame({"rid": rid, "start": start, "strings": strings, "text": None})
+    if not salted:
+        return out
+    r = region[least]
+    first = pd.DataFrame({"rid": pdf["rid"].to_numpy()[r], "start": pdf["start"].to_numpy()[r] + within[least], "strings": 1,
+                          "text": [raw[a:a + MATCH].tobytes() for a in least]})
+    return pd.concat([out, first])
 
 
 _LAST = (1 << 63) - 1 - (1 << 40)
@@ -230,23 +225,22 @@ def repeats(docs: DataFrame) -> DataFrame:
                    .sortWithinPartitions("anchor", "content", "rid", "start")
                    .mapInArrow(_split, "anchor long, rid long, start long, strings long"), "regions")
     edges = split.where("anchor is not null")
-    hot = edges.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("anchor")
-    hot = staged(edges.join(hot, "anchor"), "hot")
-    cold = edges.join(hot.select("anchor").distinct(), "anchor", "left_anti")
-    one = F.struct("anchor", "start", "strings")
-    cold = staged(cold.groupBy("rid").agg(F.collect_list(one).alias("found"), F.sum(F.col("strings") + MATCH).alias("bytes")), "edges")
-    size = cold.agg(F.sum("bytes")).first()[0] or 0
-    by_shard = (_matching(texts, cold, "bytes").select("rid", "text", "found")
-                .mapInArrow(_texts(int(size // SHARD_BYTES) + 1), "shard long, rid long, start long, text binary")
-                .groupBy("shard").applyInPandas(_shard, "rid long, start long, strings long"))
-    runs = split.where("anchor is null").select("rid", "start", "strings").union(by_shard)
-    if not hot.isEmpty():
-        hot = staged(hot.groupBy("rid").agg(F.collect_list(one).alias("found"), F.count("*").alias("n")), "hot-edges")
-        strings = staged(_matching(texts, hot, "n").select("rid", "text", "found")
-                         .mapInArrow(_strings, "rid long, start long, text binary"), "strings")
+    hot = staged(edges.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > HOT), "hot")
+    size = edges.agg(F.sum(F.col("strings") + MATCH)).first()[0] or 0
+    salt = F.pmod(F.xxhash64("rid"), F.ceil(F.col("m") / HOT))
+    shard = F.when(F.col("m").isNull(), F.pmod("anchor", F.lit(int(size // SHARD_BYTES) + 1))).otherwise(F.xxhash64("anchor", salt))
+    edges = edges.join(hot, "anchor", "left").select("rid", F.struct(shard.alias("shard"), F.col("m").isNotNull().alias("salted"), "start", "strings").alias("one"))
+    edges = staged(edges.groupBy("rid").agg(F.collect_list("one").alias("found"), F.count("*").alias("n")), "edges")
+    found = staged(_matching(texts, edges, "n").select("rid", "text", "found")
+                   .mapInArrow(_texts, "shard long, salted boolean, rid long, start long, text binary")
+                   .groupBy("shard", "salted").applyInPandas(_shard, "rid long, start long, strings long, text binary"), "found")
+    whole, part = split.where("anchor is null"), found.where("text is null")
+    runs = whole.select("rid", "start", "strings").union(part.select("rid", "start", "strings"))
+    strings = found.where("text is not null")
+    if not strings.isEmpty():
         first = strings.groupBy("text").agg(F.min(F.struct("rid", "start")).alias("first"))
         again = strings.join(first, "text").where(F.struct("rid", "start") > F.col("first"))
-        runs = runs.union(again.select("rid", "start", F.lit(1).cast("long").alias("strings")))
+        runs = runs.union(again.select("rid", "start", "strings"))
     return staged(runs.groupBy("rid").agg(F.collect_list(F.struct("start", "strings")).alias("runs"), F.count("*").alias("n")), "runs")
 
 
