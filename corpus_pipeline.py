@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitlens.llm import ngram_join, quality_rules, suffix_dedup
+from splitlens.llm import mixing, ngram_join, quality_rules, suffix_dedup
 from splitlens.llm.staging import prepare, staged
 
 
@@ -31,10 +31,17 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return suffix_dedup.without_repeats(docs)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    prepare(spark)
+    return mixing.mixed_documents(docs)
+
+
 STAGES = [
     ("quality rules", quality_stage),
     ("n-gram Jaccard join", near_duplicate_stage),
     ("suffix-array dedup", repeats_stage),
+    ("mixing sources to target weights", mixing_stage),
 ]
 
 #: SQL cannot express the token measures of the first stage; tests hold ``run`` against brute

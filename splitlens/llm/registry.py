@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, quality_rules, suffix_dedup
+from . import mixing, ngram_join, quality_rules, suffix_dedup
 from .staging import documents
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +39,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_suffix_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.summary(documents(spark, sf_dir))
+
+
+@query("op1_source_mixing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -37,7 +37,7 @@ MATCH, KMER = 100, 40
 STRIDE = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
 HOT = 512
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ROLL = W.stream(256, 71)
 _BLOOM = "spark.sql.optimizer.runtime.bloomFilter."
