@@ -122,7 +122,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK,
     rows = sized(docs)
     sources = targets(rows, weights, block)
     drawn = slots(sources, shard_slots, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    shares = packing(rows, sources, block).join(drawn, ["sid", "block"], "left")
+    # Spark takes the slots, made from the few rows of the sources, for a small table
+    shares = packing(rows, sources, block).join(drawn.hint("merge"), ["sid", "block"], "left")
     row = ["doc_id", "source", "size", "source_size", "target", "start", "key"]
     taken = F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long")
     found = shares.groupBy(*row).agg(taken.alias("taken"), F.count("*").alias("rows"))

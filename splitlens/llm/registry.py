@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, quality_rules, suffix_dedup
+from . import fingerprints, mixing, ngram_join, quality_rules, suffix_dedup
 from .staging import documents
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_source_mixing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op8_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(documents(spark, sf_dir))
