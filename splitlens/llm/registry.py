@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, ngram_join, quality_rules, suffix_dedup
+from . import fingerprints, mixing, ngram_join, quality_rules, resharding, suffix_dedup
 from .staging import documents
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_fingerprints")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(documents(spark, sf_dir))
+
+
+@query("op6_flow_resharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.reshard(documents(spark, sf_dir))
