@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, ngram_join, quality_rules, resharding, suffix_dedup
+from . import fingerprints, license_scan, mil_quality, mixing, ngram_join, quality_rules, resharding, suffix_dedup
 from .staging import documents
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_flow_resharding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.reshard(documents(spark, sf_dir))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", *(F.col(f"license.{c}") for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")),
+                        F.size("license.matches").alias("n_blocks"))
+
+
+@query("op7_mil_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return mil_quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

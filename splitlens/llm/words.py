@@ -77,11 +77,11 @@ def word_starts(data: np.ndarray, offs: np.ndarray, separator: np.ndarray) -> np
 def word_hashes(data: np.ndarray, offs: np.ndarray, separator: np.ndarray = SPACE,
                 lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and per text the n+1 offsets into the words."""
+    data = LOWER[data] if lower else data
     s = word_starts(data, offs, separator)
     if not len(s):
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
     table = np.where(separator, np.uint64(0), _BYTE)
-    table = np.where(separator, np.uint64(0), table[LOWER]) if lower else table
     gap = np.diff(np.append(s, len(data)))
     at = np.arange(s[0], len(data), dtype=np.int64) - np.repeat(s, gap)
     longest = int(gap.max())
