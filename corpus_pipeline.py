@@ -8,8 +8,9 @@ recomputes one stage at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from splitlens.llm import mixing, ngram_join, quality_rules, suffix_dedup
+from splitlens.llm import mixing, ngram_join, quality_rules, sp_sampling, suffix_dedup
 from splitlens.llm.staging import prepare, staged
 
 
@@ -37,11 +38,21 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mixed_documents(docs)
 
 
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document's sampled segmentations, a row for each sample."""
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(sp_sampling.ROWS))
+    found = sp_sampling.encode(docs.select("doc_id", "text", "lang", "source"))
+    rows = found.select("doc_id", "lang", "source", F.posexplode("samples").alias("sample", "s"))
+    return rows.select("doc_id", "lang", "source", "sample", "s.*")
+
+
 STAGES = [
     ("quality rules", quality_stage),
     ("n-gram Jaccard join", near_duplicate_stage),
     ("suffix-array dedup", repeats_stage),
     ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding", encoding_stage),
 ]
 
 #: SQL cannot express the token measures of the first stage; tests hold ``run`` against brute

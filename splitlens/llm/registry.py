@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, license_scan, mil_quality, mixing, ngram_join, quality_rules, resharding, suffix_dedup
+from . import fingerprints, license_scan, mil_quality, mixing, ngram_join, quality_rules, resharding, sp_sampling, suffix_dedup
 from .staging import documents
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return mil_quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op2_sentencepiece_sampling")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(sp_sampling.ROWS))
+    return sp_sampling.digests(docs)
