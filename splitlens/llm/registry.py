@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, license_scan, mil_quality, mixing, ngram_join, quality_rules, resharding, sp_sampling, suffix_dedup
-from .staging import documents
+from . import fingerprints, html_extract, license_scan, mil_quality, mixing, ngram_join, quality_rules, resharding, sp_sampling, suffix_dedup
+from .staging import documents, prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -74,3 +74,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(sp_sampling.ROWS))
     return sp_sampling.digests(docs)
+
+
+@query("op3_html_extraction")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(prepare(spark).read.parquet(f"{sf_dir}/pages.parquet"))
