@@ -31,6 +31,7 @@ MAX_REPEATS = 3
 BLOCK, SHARD_SLOTS = 64, 4096
 BUCKET_DOCS = 10_000
 _CHUNK = 4096
+_UNIT = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -132,14 +133,46 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK,
     return found.withColumn("one", F.explode(F.sequence(F.lit(1), same))).drop("one", "rows", "start")
 
 
+def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
+    """Per key with words: rows (equal rows of ``docs``) and copies, how often stage 4 gives them
+    all together.
+
+    A document's rate is its taken words by its size. Along a source's documents, by size class,
+    bucket and size, the rates are summed from a start that a hash of the source gives, and a
+    document gets a copy for each whole number that the sum passes: its rate rounded down or
+    up, the remainder going to the next document. So a document has at most ``MAX_REPEATS``
+    copies, and as neighbours are of like size, a source's words stay near those that the mix
+    takes. Rates are counted in units of 1 / ``_UNIT``, so that sums do not depend on their order.
+    """
+    found = mix(docs, weights, seed=seed).where("size > 0").groupBy("key", "source", "size").agg(
+        F.count("*").alias("rows"), F.round(F.sum("taken") * _UNIT / F.col("size")).cast("long").alias("rate"))
+    found = staged(found.withColumn("class", F.floor(2 * F.log2("size")).cast("int")), "rates")
+    buckets = 1 + found.count() // BUCKET_DOCS
+    found = found.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(buckets)))
+    over = Window.partitionBy("source").orderBy(F.col("class").desc(), "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = found.groupBy("source", "class", "bucket").agg(F.sum("rate").alias("rates"))
+    start = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(_UNIT))
+    sums = staged(sums.select(F.col("source").alias("its"), F.col("class").alias("_class"), F.col("bucket").alias("_bucket"),
+                              (start + F.coalesce(F.sum("rates").over(over), F.lit(0))).alias("offset")), "rate-offsets")
+    within = Window.partitionBy("source", "class", "bucket").orderBy(F.col("size").desc(), "key").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("end", F.sum("rate").over(within))
+    found = found.join(sums, F.col("source").eqNullSafe(F.col("its")) & (F.col("class") == F.col("_class")) & (F.col("bucket") == F.col("_bucket")))
+    end = F.col("end") + F.col("offset")
+    return found.select("key", "rows", (F.floor(end / _UNIT) - F.floor((end - F.col("rate")) / _UNIT)).cast("int").alias("copies"))
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes its words, rounded; rows that the mix
-    takes less than half of are left out."""
-    found = mix(docs, weights, seed=seed).where("size > 0").groupBy("key").agg(
-        (F.sum("taken") / F.sum("size")).alias("rate"))
-    copies = found.select(F.col("key").alias("_its"), F.round("rate").cast("int").alias("_copies")).where("_copies > 0")
+    """The rows of ``docs``, each in as many whole copies as ``copies`` gives it: a source's words
+    are those that the mix takes but for the remainders of documents of like size. Equal rows
+    (by doc_id, source and text) share their copies evenly."""
+    found = copies(docs, weights, seed).where("copies > 0")
+    found = found.select(F.col("key").alias("_its"), F.col("rows").alias("_rows"), F.col("copies").alias("_all"))
     named = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
-    return (named.join(copies, F.col("_key") == F.col("_its"))
+    # the first of equal rows get what is left over; other columns only order them
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns)))
+    own = F.expr("cast(_all div _rows + if(_rank <= _all % _rows, 1, 0) as int)")
+    return (named.join(found, F.col("_key") == F.col("_its")).withColumn("_rank", rank)
+            .withColumn("_copies", own).where("_copies > 0")
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns))
 
 

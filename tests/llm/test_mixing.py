@@ -85,3 +85,22 @@ def test_awkward_rows(spark):
     none = spark.createDataFrame([(1, "a", ""), (2, None, None), (2, None, None)], "doc_id long, source string, text string")
     assert [(r.target, r.taken) for r in M.mix(none).collect()] == [(0.0, 0)] * 3
     assert M.mixed_documents(tables.empty(spark)).count() == 0
+
+
+def test_whole_copies_meet_the_targets(spark):
+    """Documents of many blocks, whose rates lie near their source's ratio of target to size."""
+    prepare(spark)
+    docs = [(i, f"s{i % 6}", f"t{i} " + "w " * (300 + 37 * (i % 40))) for i in range(1200)]
+    docs += [(5000 + i, "s1", f"t{i} " + "w " * 900) for i in range(700)] + [(7, "s1", docs[7][2])] * 3
+    out = M.mixed_documents(spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(5)).collect()
+    sizes, words = defaultdict(int), Counter()
+    for _, s, t in docs:
+        sizes[s] += size_of(t)
+    for r in out:
+        words[r.source] += size_of(r.text)
+    want = M.targets_of(sizes)
+    assert min(want[s] / sizes[s] for s in want) < 0.45
+    for s, target in want.items():
+        assert abs(words[s] - target) <= 0.03 * target
+    had, got = Counter(docs), Counter((r.doc_id, r.source, r.text) for r in out)
+    assert all(n <= M.MAX_REPEATS * had[d] for d, n in got.items())
