@@ -24,9 +24,9 @@ def query(key: str):
 
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality_rules.apply_rules(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = quality_rules.apply_rules(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    more = ["script", "n_tokens", "chars_per_token", "fallback_share", "token_entropy"]
+    more = ["script", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "second_chars_per_token"]
     return docs.select("doc_id", *(F.col(f"quality.{c}") for c in base), "base_failed", "kept",
                        *(F.col(f"quality.{c}") for c in more))
 

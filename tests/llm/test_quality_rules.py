@@ -1,5 +1,8 @@
 """Quality rules against plain string work, and the token measures against the tokenizer."""
 
+import base64
+import random
+
 import numpy as np
 import sentencepiece
 
@@ -59,3 +62,24 @@ def test_scripts():
     for text, want in (("abc", "latin"), ("Жизнь", "cyrillic"), ("你好", "cjk"),
                        ("한국", "hangul"), ("αβ", "greek"), ("123 ...", "other")):
         assert Q.script_of(np.frombuffer(text.encode(), np.uint8)) == want
+
+
+VIETNAMESE = ("Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hoá "
+              "ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình anh em.")
+POLISH = ("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem "
+          "i powinni postępować wobec innych w duchu braterstwa.")
+
+
+def test_encoded_blobs_fall_out_and_other_languages_stay(spark):
+    prepare(spark)
+    rng = random.Random(5)
+    lines = lambda s, n: "\n".join(s[i:i + n] for i in range(0, len(s), n))
+    blobs = []
+    for n in (64, 76):
+        blobs += [lines(f(rng.randbytes(1500)).decode(), n) for f in (base64.b64encode, base64.b32encode, base64.b85encode) for _ in range(10)]
+        blobs += [lines(base64.b64encode(VIETNAMESE.encode() * 4).decode(), n), lines(rng.randbytes(1000).hex(), n), lines(rng.randbytes(1000).hex().upper(), n)]
+    letters = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 60))) for _ in range(100)) for _ in range(10)]
+    rows = [(b, lang, False) for b in blobs for lang in (None, "en", "fr", "vi")] + [(t, "en", False) for t in letters]
+    rows += [(t, lang, True) for t, lang in ((VIETNAMESE, "vi"), (VIETNAMESE, None), (POLISH, "pl"), (POLISH, None))]
+    for r in Q.apply_rules(spark.createDataFrame(rows, "text string, lang string, want boolean")).collect():
+        assert (r.kept, r.quality.script) == (r.want, "latin"), (r.lang, r.quality, r.text[:60])
