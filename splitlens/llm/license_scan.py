@@ -1,17 +1,18 @@
 """License scans: text blocks that contain nearly all words of a license template.
 
 An exact containment join between the templates' word sets and the corpus' text blocks. A
-template of n words is looked for in blocks of 2 n words that start every n words, so any n
-consecutive words lie in a block. Template words are ordered by their frequency in the whole
-corpus, rare ones first. A block that reaches the threshold t shares a word with the prefix, the
-first ``|T| - ceil(t |T|) + 1`` template words; only blocks around such words are looked at
-(prefix filter). A block with too few words (length filter), or too few words left after its
-first match in the order (positional filter), is dropped before it is counted.
+template of n words is looked for in every block of 2 n words, wherever it starts; blocks that
+start at one of the template's words are enough, as others hold no more of them. Template words
+are ordered by their frequency in the whole corpus, rare ones first. A block that reaches the
+threshold t shares a word with the prefix, the first ``|T| - ceil(t |T|) + 1`` template words;
+only blocks around such words are looked at (prefix filter). A block with too few template
+words, repeats included, is dropped before its distinct ones are counted (length filter).
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
@@ -112,34 +113,47 @@ class Scanner:
             own = sorted({number[w] for w in ws}, key=lambda k: self.rank[k])
             need = ceil(threshold * len(own) - 1e-9)
             self.templates.append((label, len(ws), own, need))
+        self.members = np.zeros((len(self.templates), len(counts) + 1), bool)
         self.prefixes = np.zeros((len(self.templates), len(counts) + 1), bool)  # last column: other words
         for k, (_, _, own, need) in enumerate(self.templates):
+            self.members[k, own] = True
             self.prefixes[k, own[:len(own) - need + 1]] = True
 
     def blocks(self, ids: np.ndarray, at: np.ndarray):
-        """Yield (row, template, first word, end word, containment) of every block that meets the
-        threshold."""
-        owner = None
+        """Yield (row, template, first word, end word, containment) of the blocks that meet the
+        threshold, each cut to the words that count: in every stretch of overlapping blocks the
+        first one with the most template words, and again behind it."""
         for k, (_, length, own, need) in enumerate(self.templates):
             hits = np.flatnonzero(self.prefixes[k][ids])
             if not len(hits):
                 continue
-            owner = np.repeat(np.arange(len(at) - 1), np.diff(at)) if owner is None else owner
-            row = owner[hits]
-            tile = (hits - at[row]) // length
-            seen = {(int(r), int(t) - d) for r, t in zip(row, tile) for d in (0, 1) if t >= d}
-            place = {w: i for i, w in enumerate(own)}
-            for r, t in sorted(seen):
-                a = at[r] + t * length
-                b = min(a + 2 * length, at[r + 1])
-                if b - a < need:  # length
-                    continue
-                block = ids[a:b]
-                found = sorted({place[w] for w in block.tolist() if w in place})
-                if not found or len(own) - found[0] < need:  # position
-                    continue
-                if len(found) >= need:
-                    yield r, k, int(a - at[r]), int(b - at[r]), len(found) / len(own)
+            p = np.flatnonzero(self.members[k][ids])
+            row = np.searchsorted(at, p, side="right") - 1
+            i = np.arange(len(p))
+            j = np.searchsorted(p, np.minimum(p + 2 * length, at[row + 1]))  # a block is p[i:j]
+            behind = np.append(p, len(ids))[j - 1]
+            some = (j - i >= need) & (np.searchsorted(hits, behind, side="right") > np.searchsorted(hits, p))
+            some = np.flatnonzero(some)
+            if not len(some):
+                continue
+            word = ids[p]
+            order = np.lexsort((i, word))
+            last = np.full(len(p), -1)  # the place before of the same word
+            again = word[order][1:] == word[order][:-1]
+            last[order[1:][again]] = order[:-1][again]
+            found = np.array([np.count_nonzero(last[a:j[a]] < a) for a in some.tolist()])
+            some, found = some[found >= need], found[found >= need]
+            n = 0
+            while n < len(some):
+                near = n + int(np.searchsorted(p[some[n:]], min(p[some[n]] + 2 * length, at[row[some[n]] + 1])))
+                best = n + int(found[n:near].argmax())
+                a = int(some[best])
+                z = a + int(np.flatnonzero(last[a:j[a]] < a)[-1]) + 1
+                while (word[a + 1:z] == word[a]).any():
+                    a += 1
+                r = int(row[a])
+                yield r, k, int(p[a] - at[r]), int(p[z - 1] + 1 - at[r]), int(found[best]) / len(own)
+                n = int(np.searchsorted(some, z))
 
     def places(self, ids: np.ndarray, at: np.ndarray):
         """Yield (row, phrase, words) for every phrase that stands in a row."""
@@ -211,18 +225,23 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, temp
 
 
 def scan_of(text: str | None, threshold: float = THRESHOLD):
-    """One text by plain string work over all blocks of all templates, as a check for tests."""
+    """One text by plain string work over every block of every template, as a check for tests."""
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
     places = [(label, i) for label, p in PHRASES.items() for i in range(len(w)) if w[i:i + len(p.split())] == p.split()]
     base = {x for x, _ in places}
     labels, score = set(base), 1.0 if base else 0.0
     for label, t in TEMPLATES:
-        n, own = len(t.split()), set(t.split())
-        for a in range(0, len(w), n):
-            share = len(own & set(w[a:a + 2 * n])) / len(own)
-            if share >= threshold - 1e-9:
-                labels.add(label)
-                score = max(score, share)
+        n, own, inside, most = len(t.split()), set(t.split()), Counter(), 0
+        for i, x in enumerate(w):
+            if x in own:
+                inside[x] += 1
+            if i >= 2 * n and w[i - 2 * n] in own:
+                inside[w[i - 2 * n]] -= 1
+                inside += Counter()
+            most = max(most, len(inside))
+        if most / len(own) >= threshold - 1e-9:
+            labels.add(label)
+            score = max(score, most / len(own))
     at = [i for _, i in places]
     return (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)

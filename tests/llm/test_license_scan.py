@@ -56,3 +56,21 @@ def test_awkward_rows(spark):
     got = {r.doc_id: r.license for r in L.scan(with_phrase).collect()}
     assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (3, 0, 6, "cc-by-nc,mit")
     assert got[2].n_base == 0 and got[3].first_word is None
+
+
+def test_a_notice_has_its_label_at_every_offset(spark):
+    prepare(spark)
+    notices = [("gpl-3", "licensed under the terms of the GNU General Public License version 3"), ("mit", "licensed under the terms of the MIT license"),
+               ("apache-2", "licensed under the terms of the Apache license, version 2.0")]
+    rows = [(label, k, "word " * k + notice + " tail" * 30, len(notice.replace(".", " ").split())) for label, notice in notices for k in range(50)]
+    rows += [(label, k, "word " * k + notice, len(notice.replace(".", " ").split())) for label, notice in notices for k in range(20)]
+    df = spark.createDataFrame(rows, "want string, k int, text string, n int")
+    labels = {label: set() for label, _ in notices}
+    for r in L.scan(df).collect():
+        assert r.want in r.license.labels.split(","), (r.k, r.text)
+        assert row(r.license) == L.scan_of(r.text)
+        assert [(m.first, m.end) for m in r.license.matches if m.label == r.want] == [(r.k, r.k + r.n)]
+        labels[r.want].add(r.license.labels)
+    assert all(len(x) == 1 for x in labels.values())
+    two = L.scan(spark.createDataFrame([(" ".join(["x"] * 3 + [notices[1][1]] + ["y"] * 2 + [notices[1][1]] * 2),)], "text string")).first().license
+    assert [(m.first, m.end) for m in two.matches if m.label == "mit"] == [(3, 11), (13, 21), (21, 29)]
