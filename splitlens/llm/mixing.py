@@ -7,7 +7,8 @@
 2. *Packing.* The words of a source, document after document, are cut into blocks of ``block``
    words. A document's offset is a running sum in two levels, within buckets of its source and
    over the bucket sums, so a hot source is spread over many tasks.
-3. *Drawing.* A source gets ``target / block`` slots. A pseudorandom permutation of all slots
+3. *Drawing.* A source gets its target's words in slots of its mean block, one at its limit every
+   block ``MAX_REPEATS`` times. A pseudorandom permutation of all slots
    deals them to output shards of equal size, which makes each shard's counts per source a
    multinomial draw given the totals: they vary from shard to shard, the mix as a whole does
    not miss its targets.
@@ -74,7 +75,10 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BL
     own = own.withColumn("level", F.max("reached").over(everything))
     own = own.withColumn("target", F.least(limit.cast("double"), F.col("level") * F.col("weight")))
     own = own.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    own = own.withColumn("slots", F.least(F.round(F.col("target") / block), MAX_REPEATS * F.col("blocks")).cast("long"))
+    # the last block may be short: slots are counted by the source's mean block
+    most = MAX_REPEATS * F.col("blocks")
+    by_mean = F.coalesce(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")), F.lit(0.0))
+    own = own.withColumn("slots", F.when(F.col("target") >= limit, most).otherwise(F.least(F.round(by_mean), most)).cast("long"))
     first = F.sum("slots").over(by_name.rowsBetween(Window.unboundedPreceding, 0)) - F.col("slots")
     return staged(own.withColumn("first", first).drop("reached", "level"), "targets")
 

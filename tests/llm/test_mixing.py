@@ -104,3 +104,14 @@ def test_whole_copies_meet_the_targets(spark):
         assert abs(words[s] - target) <= 0.03 * target
     had, got = Counter(docs), Counter((r.doc_id, r.source, r.text) for r in out)
     assert all(n <= M.MAX_REPEATS * had[d] for d, n in got.items())
+
+
+def test_sources_at_their_limit_are_taken_whole(spark):
+    """Sources of less than a block, or with a short last one, beside a hot source."""
+    prepare(spark)
+    docs = [(n, f"s{n:03}", "w " * n) for n in (1, 5, 10, 20, 64, 65, 100, 130)] + [(1000 + i, "z", "w " * 500) for i in range(200)]
+    out = M.mix(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()
+    small = [r for r in out if r.source != "z"]
+    assert len(small) == 8 and all(r.target == M.MAX_REPEATS * r.size == r.taken for r in small)
+    hot = [r for r in out if r.source == "z"]
+    assert abs(sum(r.taken for r in hot) - hot[0].target) <= M.BLOCK
