@@ -74,6 +74,20 @@ def word_starts(data: np.ndarray, offs: np.ndarray, separator: np.ndarray) -> np
     return np.flatnonzero(start)
 
 
+def word_codes(data: np.ndarray, offs: np.ndarray, separator: np.ndarray = SPACE,
+               lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Codes of all words in order, per text the n+1 offsets into them, and the distinct words
+    that the codes name (compared by their bytes, so no two words share a code)."""
+    word = ~separator[data]
+    starts = word_starts(data, offs, separator)
+    own = data[word]
+    own = LOWER[own] if lower else own
+    before = np.cumsum(word, dtype=np.int64)
+    at = np.append(before[starts] - 1, len(own)).astype(np.int64)
+    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(own)).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), np.searchsorted(starts, offs), found.dictionary
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray, separator: np.ndarray = SPACE,
                 lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and per text the n+1 offsets into the words."""
