@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import stable
 from ..functions.steps import ARMS, UNASSIGNED_LABEL
+from .joins import full_outer
 
 DEMO_COLUMNS = ["client_id", "clnt_tenure_yr", "clnt_age", "gendr", "bal"]
 EVENT_COLUMNS = ["variation", "visitor_id", "visit_id", "process_step", "date_time", "event_seq"]
@@ -51,8 +52,9 @@ def demo_clean(demographics: DataFrame) -> DataFrame:
 
 
 def master(demo: DataFrame, web_groups: DataFrame) -> DataFrame:
-    """Full outer join of clean demographics and the grouped web log (USING key)."""
-    return demo.join(web_groups, "client_id", "full").select(*DEMO_COLUMNS, *EVENT_COLUMNS)
+    """Full outer join of clean demographics and the grouped web log (USING key), with hot
+    clients split on either side."""
+    return full_outer(demo, web_groups, "client_id").select(*DEMO_COLUMNS, *EVENT_COLUMNS)
 
 
 def with_demographics(demo: DataFrame, web_groups: DataFrame) -> DataFrame:

@@ -54,16 +54,19 @@ def steps_per_client(merged: DataFrame) -> DataFrame:
 
 
 def step_distribution(merged: DataFrame) -> DataFrame:
-    """A3: number of clients per distinct-step count."""
+    """A3/O3: number of clients per distinct-step count, most clients first."""
     return (steps_per_client(merged).groupBy("n_steps")
-            .agg(F.count("*").alias("n_clients")))
+            .agg(F.count("*").alias("n_clients"))
+            .orderBy(F.col("n_clients").desc(), "n_steps"))
 
 
 def step_distribution_pct(merged: DataFrame) -> DataFrame:
-    """A4: the same distribution normalised to shares (total as a scalar subquery)."""
+    """A4/O3: the same distribution normalised to shares (total as a scalar subquery),
+    most clients first."""
     dist = step_distribution(merged)
     total = dist.agg(F.sum("n_clients")).scalar()
-    return dist.withColumn("share", F.col("n_clients") / total)
+    return (dist.withColumn("share", F.col("n_clients") / total)
+            .orderBy(F.col("n_clients").desc(), "n_steps"))
 
 
 def steps_crosstab(merged: DataFrame) -> DataFrame:

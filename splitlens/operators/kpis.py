@@ -69,19 +69,19 @@ def arm_totals(events: DataFrame) -> DataFrame:
         .cast("long").alias("finished_attempts"))
 
 
-def _finisher_rate(totals: DataFrame) -> DataFrame:
+def _finisher_rate(totals: DataFrame, keep: bool = False) -> DataFrame:
+    """With ``keep`` the other columns stay beside the rate."""
+    share = F.col("clients_finished") / F.col("total_clients") * 100
+    others = totals.columns if keep else ["variation", "clients_finished", "total_clients"]
     return (totals.where(F.col("clients_finished") > 0)
-            .select("variation", "clients_finished", "total_clients",
-                    round_half_even(F.col("clients_finished") / F.col("total_clients") * 100, 2)
-                    .alias("finisher_clients_pct")))
+            .select(*others, round_half_even(share, 2).alias("finisher_clients_pct")))
 
 
-def _completion_rate(totals: DataFrame) -> DataFrame:
+def _completion_rate(totals: DataFrame, keep: bool = False) -> DataFrame:
+    rate = F.try_divide(F.col("finished_attempts"), F.col("total_attempts")) * 100
+    others = totals.columns if keep else ["variation", "finished_attempts", "total_attempts"]
     return (totals.where(F.col("finished_attempts") > 0)
-            .select("variation", "finished_attempts", "total_attempts",
-                    round_half_even(F.try_divide(F.col("finished_attempts"),
-                                                 F.col("total_attempts")) * 100, 2)
-                    .alias("completion_rate_pct")))
+            .select(*others, round_half_even(rate, 2).alias("completion_rate_pct")))
 
 
 def finisher_rate(events: DataFrame) -> DataFrame:
@@ -113,14 +113,11 @@ def completion_rate(events: DataFrame) -> DataFrame:
 def kpi_summary(events: DataFrame) -> DataFrame:
     """Completion, mean step error and finisher share per arm.
 
-    Two aggregates over the event table (per step and per client); the joins that follow
-    are between tables with one row per arm.
+    Two aggregates over the event table (per step and per client), joined on the arm; arms
+    without a finisher or a finished attempt have no row, as in the reference's inner joins.
     """
-    totals = arm_totals(events)
-    return (_completion_rate(totals)
-            .join(error_summary(events), "variation")
-            .join(_finisher_rate(totals).select("variation", "finisher_clients_pct"),
-                  "variation")
+    rates = _finisher_rate(_completion_rate(arm_totals(events), keep=True), keep=True)
+    return (rates.join(error_summary(events), "variation")
             .select("variation", "finished_attempts", "total_attempts", "completion_rate_pct",
                     "error_rate_pct", "finisher_clients_pct"))
 

@@ -96,3 +96,16 @@ def client_trace(events: DataFrame, columns: list[str]) -> DataFrame:
                     .alias("client_id")))
     return (events.join(busiest, "client_id", "left_semi").select(*columns)
             .orderBy(F.col("date_time").asc_nulls_last(), "event_seq"))
+
+
+def trace(events: DataFrame, columns: list[str], client: int | None = None,
+          visit: str | None = None) -> DataFrame:
+    """The ordered events of one client, or of one visit.  Over a clustered table
+    (``sources.stage.clustered_table``) the literal reaches the scan, which then reads only
+    the row groups that may hold it."""
+    if (client is None) == (visit is None):
+        raise ValueError("give a client or a visit")
+    own = (F.col("client_id") == F.lit(client) if visit is None
+           else F.col("visit_id") == F.lit(visit))
+    return (events.where(own).select(*columns)
+            .orderBy(F.col("date_time").asc_nulls_last(), "event_seq"))

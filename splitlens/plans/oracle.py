@@ -667,3 +667,119 @@ register("tableau_export", _EXPORT, "kev")
 register("sink_roundtrip", _EXPORT, "kev")
 register("src_csv_typed", "SELECT * FROM web_clean", "web_clean")
 register("src_csv_semicolon", "SELECT * FROM pdur", "pdur")
+
+# -- sorted, first and last rows, lookups -----------------------------------------------
+register("step_by_step_durations", f"""
+SELECT * FROM pdur ORDER BY client_id, visit_id, {ORD}
+""", "pdur")
+_HEAD = "date_time, event_seq, client_id, visitor_id, visit_id, process_step"
+register("web_log_head", f"SELECT {_HEAD} FROM web_clean ORDER BY {_HEAD} LIMIT 20", "web_clean")
+register("web_log_tail", f"""
+SELECT {_HEAD} FROM web_clean
+ORDER BY {', '.join(f'{c} DESC' for c in _HEAD.split(', '))} LIMIT 20
+""", "web_clean")
+register("client_first_steps", f"""
+SELECT * FROM (
+  SELECT client_id, date_time, event_seq, process_step,
+         CAST(row_number() OVER (PARTITION BY client_id ORDER BY {ORD}) AS INTEGER) AS rank
+  FROM wwg)
+WHERE rank <= 3
+""", "wwg")
+_TRACE = ("client_id, variation, visitor_id, visit_id, process_step, date_time, event_seq, "
+          "step_num, is_error, attempt_no, finish")
+register("client_trace_by_client", f"SELECT {_TRACE} FROM kev WHERE client_id = 6", "kev")
+register("client_trace_by_visit", f"SELECT {_TRACE} FROM kev WHERE visit_id = '2_9'", "kev")
+
+# -- sketches: exact counts and quantiles (the sketches are exact at these sizes) -----------
+register("step_clients_sketched", """
+SELECT variation, process_step, count(DISTINCT client_id) AS n_clients FROM merged
+WHERE date_time IS NOT NULL AND process_step IS NOT NULL GROUP BY variation, process_step
+""", "merged")
+register("daily_clients_sketched", """
+SELECT variation, CAST(CAST(date_time AS DATE) AS VARCHAR) AS day,
+       count(DISTINCT client_id) AS n_clients
+FROM merged WHERE date_time IS NOT NULL GROUP BY 1, 2
+""", "merged")
+register("finisher_rate_sketched", "SELECT * FROM fin_rate", "fin_rate")
+register("arm_overlap_sketched", """
+SELECT count(*) AS n_overlap
+FROM (SELECT client_id FROM kev WHERE variation = 'Control' AND date_time IS NOT NULL
+      INTERSECT SELECT client_id FROM kev WHERE variation = 'Test' AND date_time IS NOT NULL)
+""", "kev")
+
+
+def _inclusive_quantiles(rows: str, value: str, by: str) -> str:
+    """The least value with at least the share p of the values at or below it."""
+    probs = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
+    picked = ", ".join(f"min(CASE WHEN rn >= {p}e0 * n THEN v END) AS {name}"
+                       for name, p in probs.items())
+    return f"""
+SELECT {by}, n, {picked}
+FROM (SELECT {by}, {value} AS v, count(*) OVER (PARTITION BY {by}) AS n,
+             row_number() OVER (PARTITION BY {by} ORDER BY {value}) AS rn
+      FROM {rows} WHERE {value} IS NOT NULL)
+GROUP BY {by}, n
+"""
+
+
+register("balance_quantiles", _inclusive_quantiles(
+    "(SELECT * FROM assigned WHERE variation IS NOT NULL)", "bal", "variation"), "assigned")
+register("step_duration_quantiles", _inclusive_quantiles(
+    "pdur", "step_duration_sec", "variation, process_step"), "pdur")
+
+# -- bootstrap and density ----------------------------------------------------------------
+# The Poisson(1) distribution function in units of 1 / 2147483647.
+_POISSON = [790015083, 1580030167, 1975037709, 2106706890, 2139624185, 2146207644, 2147304887,
+            2147461637, 2147481230, 2147483407, 2147483625]
+_WEIGHT = " + ".join(f"CAST(u >= {c} AS BIGINT)" for c in _POISSON)
+register("balance_bootstrap", f"""
+WITH clients AS (
+  SELECT * FROM assigned WHERE variation IS NOT NULL AND gendr IS NOT NULL),
+d0 AS (SELECT c.*, r.range AS replicate,
+              ((c.client_id % 2147483647) * 48271 + r.range * 69621 + 1) % 2147483647 AS x
+       FROM clients c, range(0, 200) r),
+d1 AS (SELECT *, (x * x + replicate * 16807 + 12345) % 2147483647 AS y FROM d0),
+d2 AS (SELECT * REPLACE ((y * 39373 + x) % 2147483647 AS x) FROM d1),
+d3 AS (SELECT *, (x * x + y) % 2147483647 AS u FROM d2),
+w AS (SELECT *, {_WEIGHT} AS w FROM d3),
+m AS (
+  SELECT variation, gendr, 'clnt_age' AS metric,
+         sum(w * clnt_age) / nullif(sum(CASE WHEN clnt_age IS NOT NULL THEN w END), 0) AS m
+  FROM w GROUP BY variation, gendr, replicate
+  UNION ALL
+  SELECT variation, gendr, 'clnt_tenure_yr' AS metric,
+         sum(w * clnt_tenure_yr) / nullif(sum(CASE WHEN clnt_tenure_yr IS NOT NULL THEN w END), 0) AS m
+  FROM w GROUP BY variation, gendr, replicate),
+q AS (SELECT variation, gendr, metric, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi
+      FROM m GROUP BY variation, gendr, metric),
+o AS (SELECT variation, gendr, metric, count(value) AS n, avg(value) AS mean FROM bal_long
+      WHERE gendr IS NOT NULL GROUP BY variation, gendr, metric)
+SELECT variation, gendr, metric, n, {stable_sql('mean')} AS mean, {stable_sql('lo')} AS ci_low,
+       {stable_sql('hi')} AS ci_high
+FROM o JOIN q USING (variation, gendr, metric)
+""", "assigned", "bal_long")
+register("age_tenure_density", f"""
+WITH v AS (SELECT variation, metric, value FROM bal_long WHERE value IS NOT NULL),
+s AS (SELECT variation, metric, count(*) AS n, min(value) AS lo, max(value) AS hi,
+             {stable_sql('stddev_samp(value) * pow(CAST(count(*) AS DOUBLE), -0.2e0)')} AS bandwidth
+      FROM v GROUP BY variation, metric),
+e AS (SELECT variation, metric, n, bandwidth, {stable_sql('lo - 3 * bandwidth')} AS lo,
+             {stable_sql('hi + 3 * bandwidth')} AS hi FROM s WHERE bandwidth > 0),
+g AS (SELECT *, (hi - lo) / 127.0e0 AS step FROM e),
+a AS (SELECT variation, metric, (value - lo) / step AS pos FROM v JOIN g USING (variation, metric)),
+c AS (SELECT variation, metric, bin, sum(w) AS c
+      FROM (SELECT variation, metric, floor(pos) AS bin, 1 - (pos - floor(pos)) AS w FROM a
+            UNION ALL SELECT variation, metric, floor(pos) + 1, pos - floor(pos) FROM a)
+      GROUP BY ALL),
+p AS (SELECT g.*, CAST(r.range AS INTEGER) AS point FROM g, range(0, 128) r),
+k AS (SELECT variation, metric, point, n, bandwidth, lo, step,
+             sum(exp(-0.5e0 * pow((point - bin) * step / bandwidth, 2)) * c) AS k
+      FROM p JOIN c USING (variation, metric) GROUP BY ALL)
+SELECT variation, metric, point, {stable_sql('lo + point * step')} AS x, n, bandwidth,
+       {stable_sql('k / (n * bandwidth * sqrt(2 * pi()))', 9)} AS density
+FROM k
+""", "bal_long")
+
+# -- sources of mixed dialects, fr_FR ------------------------------------------------------
+register("src_csv_dialects", "SELECT * FROM web_clean", "web_clean")
+register("src_csv_locale", "SELECT * FROM pdur", "pdur")

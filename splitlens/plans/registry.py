@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import (balance, cleaning, dashboards, durations, funnel, kpis, profile,
-                         sessions, stats)
-from ..sources import csv
+from ..operators import (balance, bootstrap, cleaning, dashboards, durations, funnel, kpis,
+                         profile, sessions, sketches, slices, stats)
+from ..sources import csv, dialect, locale
+from ..sources.stage import stage_path, stage_table
 from .pipeline import Stages
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +148,11 @@ def _process_durations(s: Stages) -> DataFrame:
     return s.process_durations
 
 
+@query("step_by_step_durations")
+def _step_by_step_durations(s: Stages) -> DataFrame:
+    return durations.step_by_step(s.process_durations)
+
+
 @query("completion_durations")
 def _completion_durations(s: Stages) -> DataFrame:
     return s.completion_durations
@@ -239,6 +245,50 @@ def _age_tenure_bins(s: Stages) -> DataFrame:
     return balance.age_tenure_bins(s.assigned_clients)
 
 
+@query("balance_bootstrap")
+def _balance_bootstrap(s: Stages) -> DataFrame:
+    known = balance.assigned(s.assigned_clients).where(F.col("gendr").isNotNull())
+    return bootstrap.intervals(known, "client_id", ["variation", "gendr"], balance.METRICS)
+
+
+@query("age_tenure_density")
+def _age_tenure_density(s: Stages) -> DataFrame:
+    return balance.density(s.assigned_clients)
+
+
+# -- sketches: the same counts and quantiles, mergeable ----------------------------------
+@query("step_clients_sketched")
+def _step_clients_sketched(s: Stages) -> DataFrame:
+    return sketches.step_clients(s.step_sketches)
+
+
+@query("daily_clients_sketched")
+def _daily_clients_sketched(s: Stages) -> DataFrame:
+    return sketches.daily_clients(s.step_sketches)
+
+
+@query("finisher_rate_sketched")
+def _finisher_rate_sketched(s: Stages) -> DataFrame:
+    return sketches.finisher_rate(s.finish_sketches)
+
+
+@query("arm_overlap_sketched")
+def _arm_overlap_sketched(s: Stages) -> DataFrame:
+    return sketches.arm_overlap(s.finish_sketches)
+
+
+@query("balance_quantiles")
+def _balance_quantiles(s: Stages) -> DataFrame:
+    clients = balance.assigned(s.assigned_clients)
+    return sketches.quantiles(sketches.value_sketches(clients, "bal", "variation"))
+
+
+@query("step_duration_quantiles")
+def _step_duration_quantiles(s: Stages) -> DataFrame:
+    return sketches.quantiles(sketches.merged_values(s.duration_sketches, "variation",
+                                                     "process_step"))
+
+
 # -- dashboards ---------------------------------------------------------------------------
 @query("duration_by_age")
 def _duration_by_age(s: Stages) -> DataFrame:
@@ -344,11 +394,43 @@ TRACE_COLUMNS = ["client_id", "variation", "visitor_id", "visit_id", "process_st
                  "date_time", "event_seq", "step_num", "is_error", "attempt_no", "finish"]
 
 
+TRACED_CLIENT, TRACED_VISIT = 6, "2_9"
+
+
 @query("client_trace")
 def _client_trace(s: Stages) -> DataFrame:
     return profile.client_trace(s.kpi_events, TRACE_COLUMNS)
 
 
+@query("client_trace_by_client")
+def _client_trace_by_client(s: Stages) -> DataFrame:
+    return profile.trace(s.traces, TRACE_COLUMNS, client=TRACED_CLIENT)
+
+
+@query("client_trace_by_visit")
+def _client_trace_by_visit(s: Stages) -> DataFrame:
+    return profile.trace(s.traces, TRACE_COLUMNS, visit=TRACED_VISIT)
+
+
+HEAD_COLUMNS = ["date_time", "event_seq", "client_id", "visitor_id", "visit_id", "process_step"]
+
+
+@query("web_log_head")
+def _web_log_head(s: Stages) -> DataFrame:
+    return slices.head(s.web_log_clean, HEAD_COLUMNS, 20)
+
+
+@query("web_log_tail")
+def _web_log_tail(s: Stages) -> DataFrame:
+    return slices.tail(s.web_log_clean, HEAD_COLUMNS, 20)
+
+
+@query("client_first_steps")
+def _client_first_steps(s: Stages) -> DataFrame:
+    own = s.web_with_groups.select("client_id", "date_time", "event_seq", "process_step")
+    return slices.first_per_key(own, ["client_id"], ["date_time", "event_seq"], 3)
+
+
 # -- exports, sources and sinks -------------------------------------------------------------
 EXPORT_COLUMNS = ["client_id", "clnt_tenure_yr", "clnt_age", "gendr", "variation", "visit_id",
                   "process_step", "is_error", "attempt_no", "finish"]
@@ -361,17 +443,35 @@ def _tableau_export(s: Stages) -> DataFrame:
 
 @query("src_csv_typed")
 def _src_csv_typed(s: Stages) -> DataFrame:
-    path = csv.write_csv(s.web_log_clean, csv.stage_path(s.spark, "web_log_csv"))
+    path = csv.write_csv(s.web_log_clean, stage_path(s.spark, "web_log_csv"))
     return csv.read_csv_typed(s.spark, path, s.web_log_clean.schema, sep=",")
 
 
 @query("src_csv_semicolon")
 def _src_csv_semicolon(s: Stages) -> DataFrame:
-    path = csv.write_csv(s.process_durations, csv.stage_path(s.spark, "durations_csv"),
+    path = csv.write_csv(s.process_durations, stage_path(s.spark, "durations_csv"),
                          sep=";")
     return csv.read_csv_typed(s.spark, path, s.process_durations.schema, sep=";")
 
 
+@query("src_csv_dialects")
+def _src_csv_dialects(s: Stages) -> DataFrame:
+    """Two parts in dialects of their own (one with a byte-order mark and other separators)
+    under one folder, read as one table."""
+    path = stage_path(s.spark, "dialects_csv")
+    first, second = s.domain.web_pt1.dropDuplicates(), s.domain.web_pt2.dropDuplicates()
+    csv.write_csv(first, f"{path}/pt1", sep=",")
+    marked = second.withColumnRenamed("client_id", "\ufeffclient_id")
+    csv.write_csv(marked, f"{path}/pt2", sep=";")
+    return dialect.read_csv(s.spark, path, s.web_log_clean.schema)
+
+
+@query("src_csv_locale")
+def _src_csv_locale(s: Stages) -> DataFrame:
+    path = locale.write_csv_fr(s.process_durations, stage_path(s.spark, "durations_fr"))
+    return locale.read_csv_fr(s.spark, path, s.process_durations.schema)
+
+
 @query("sink_roundtrip")
 def _sink_roundtrip(s: Stages) -> DataFrame:
-    return csv.write_parquet_stage(s.kpi_events.select(*EXPORT_COLUMNS), "tableau_export")
+    return stage_table(s.kpi_events.select(*EXPORT_COLUMNS), "tableau_export")

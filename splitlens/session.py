@@ -32,12 +32,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder for stage tables and checkpoints.
 
-    Reads ``spark.checkpoint.dir`` from the session; sets a local one only when unset.
+    Reads ``spark.checkpoint.dir`` from the session.  Where it is unset, a local master gets a
+    scratch folder; on a cluster no folder of one machine would do, so that is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="splitlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -1,22 +1,18 @@
 """Typed CSV scans and sinks.
 
-The reference sniffs the delimiter and lets pandas infer types; here the caller passes
-the separator and a schema, so no pass over the data is spent on inference and a bad
-value becomes null instead of changing a column's type.  Timestamps travel as
+The reference lets pandas infer types; here the caller passes a schema and a separator (or
+leaves the separator to ``dialect``), so no pass over the data is spent on inference and a
+bad value becomes null instead of changing a column's type.  Timestamps travel as
 ``yyyy-MM-dd HH:mm:ss`` text and are parsed into TIMESTAMP_NTZ with ``try_`` semantics
 (bad text -> null, SURVEY T15) without involving the session time zone.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
-
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # Text that pandas.read_csv reads as missing by default.
 PANDAS_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -34,19 +30,22 @@ def parse_timestamp_ntz(text: Column) -> Column:
         part[3].cast("int"), part[4].cast("int"), part[5].cast("decimal(16,6)")))
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
-                   header: bool = True) -> DataFrame:
+def read_csv_typed(spark: SparkSession, path: str | list[str], schema: T.StructType,
+                   sep: str = ",", header: bool = True, encoding: str = "UTF-8") -> DataFrame:
     """CSV scan with an explicit schema and separator.
 
     Timestamp fields of ``schema`` are read as text and parsed; text fields treat the
-    pandas missing-value markers as null.
+    pandas missing-value markers as null.  Files in UTF-16 are read whole, as their line ends
+    cannot be told from bytes.
     """
     text_schema = T.StructType([
         T.StructField(f.name, T.StringType() if isinstance(
             f.dataType, (T.TimestampNTZType, T.TimestampType)) else f.dataType, True)
         for f in schema.fields])
     df = (spark.read.schema(text_schema).option("header", header).option("sep", sep)
-          .option("mode", "PERMISSIVE").option("nanValue", "NaN").csv(path))
+          .option("mode", "PERMISSIVE").option("nanValue", "NaN")
+          .option("encoding", encoding).option("multiLine", encoding.startswith("UTF-16"))
+          .csv(path))
     cols = []
     for f in schema.fields:
         c = F.col(f.name)
@@ -73,16 +72,3 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
     (df.select(*cols).write.mode("overwrite").option("header", True).option("sep", sep)
      .option("encoding", "UTF-8").csv(path))
     return path
-
-
-def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory for a stage table."""
-    return f"{checkpoint_dir(spark)}/splitlens-stage/{name}-{uuid.uuid4().hex}"
-
-
-def write_parquet_stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage table to the shared folder and read it back (cuts the lineage, so a
-    lost executor recomputes from the table, not from the raw inputs)."""
-    path = stage_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
