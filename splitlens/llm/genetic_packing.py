@@ -35,11 +35,19 @@ from .staging import staged, tokenizer_path
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END = 2048, 0
 REGION = 2048
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 3, 8, 6
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 6, 6
 #: Bins with more free places are dissolved for the next level; levels end when fewer than this
 #: share of the pieces leaves.
 LOOSE, SHRINK, LEVELS = 16, 0.5, 7
-_KNOWN_WORDS = 1 << 18
+_KNOWN_WORDS = 1 << 20
+#: The vocabulary never joins a letter, a digit and another sign, nor two digits, but for what
+#: follows an apostrophe; bytes of other scripts and controls are left to it.
+_KINDS_OF_BYTES = np.zeros(256, np.uint8)
+_KINDS_OF_BYTES[0x21:0x7F] = 3
+_KINDS_OF_BYTES[ord("'")] = 0
+_KINDS_OF_BYTES[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 2
+_KINDS_OF_BYTES[0x30:0x3A] = 1
+_SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 _models: dict = {}
 
 Bins = list[list[int]]
@@ -58,7 +66,8 @@ def _model(path: str):
 
 def _ids(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words back to back, and the n+1 offsets. This vocabulary drops white space and
-    looks at nothing beyond it, so words may be encoded one by one."""
+    encodes runs of letters, digits and other signs each by itself, so they may be encoded one
+    by one."""
     model, known = _model(path)
     words = words.to_pylist()
     if len(known) > _KNOWN_WORDS:
@@ -85,7 +94,9 @@ def pieces(docs: DataFrame, with_ids: bool = False, vocabulary: str | None = Non
             data, offs = W.text_bytes(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
             for lo, hi in W.chunks(offs):
-                codes, at, words = W.word_codes(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
+                part = data[offs[lo]:offs[hi]]
+                special = any(x in part.tobytes() for x in _SPECIAL)  # these are found before any cut
+                codes, at, words = W.word_codes(part, offs[lo:hi + 1] - offs[lo], kinds=None if special else _KINDS_OF_BYTES)
                 flat, begin = _ids(path, words)
                 size = np.diff(begin)[codes]
                 ends = np.cumsum(size)
@@ -95,8 +106,8 @@ def pieces(docs: DataFrame, with_ids: bool = False, vocabulary: str | None = Non
                 for i in range(hi - lo):
                     own = np.append(tokens[bound[i]:bound[i + 1]], np.uint32(END)).astype("<u4")
                     for k, start in enumerate(range(0, len(own), capacity)):
-                        part = own[start:start + capacity]
-                        out.append((row, doc_ids[lo + i], k, start, len(part), crc32(part.tobytes()), part))
+                        ids = own[start:start + capacity]
+                        out.append((row, doc_ids[lo + i], k, start, len(ids), crc32(ids.tobytes()), ids))
                         row += 1
                 columns = list(zip(*out))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]

@@ -75,11 +75,18 @@ def word_starts(data: np.ndarray, offs: np.ndarray, separator: np.ndarray) -> np
 
 
 def word_codes(data: np.ndarray, offs: np.ndarray, separator: np.ndarray = SPACE,
-               lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+               lower: bool = False, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Codes of all words in order, per text the n+1 offsets into them, and the distinct words
-    that the codes name (compared by their bytes, so no two words share a code)."""
+    that the codes name (compared by their bytes, so no two words share a code). ``kinds`` cuts
+    words further, where the kinds of two bytes (0: not cut) differ, and between two of kind 1."""
     word = ~separator[data]
     starts = word_starts(data, offs, separator)
+    if kinds is not None and len(data):
+        k = kinds[data]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = (k[1:] > 0) & (k[:-1] > 0) & ((k[1:] != k[:-1]) | (k[1:] == 1))
+        cut[starts] = True
+        starts = np.flatnonzero(cut)
     own = data[word]
     own = LOWER[own] if lower else own
     before = np.cumsum(word, dtype=np.int64)
