@@ -1,7 +1,10 @@
 """The corpus pipeline, every stage against brute force over the rows that its predecessor kept."""
 
+import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from splitlens.llm import mixing, ngram_join, quality_rules, sp_sampling, suffix_dedup
 from splitlens.llm.staging import prepare, staged, tokenizer_path
@@ -12,6 +15,22 @@ SF = "/root/testdata/sf0.001"
 V = sp_sampling.vocabulary(tokenizer_path(sp_sampling.VOCABULARY))
 
 
+def carried(mix, seed=1):
+    """Copies by document: along a source's documents (by falling size class, bucket, falling size
+    and key) the rates add up, and each whole number passed is a copy."""
+    hashed = mix.where("size > 0").select("doc_id", "source", "size", "taken", "key", F.xxhash64("key", F.lit(seed)).alias("deal"), F.xxhash64("source", F.lit(seed)).alias("start"))
+    rows, unit = hashed.collect(), mixing._UNIT
+    assert len({r.key for r in rows}) == len(rows)  # no equal rows, which would share a rate
+    buckets = 1 + len(rows) // mixing.BUCKET_DOCS
+    order = sorted(rows, key=lambda r: (-math.floor(2 * math.log(r["size"]) / math.log(2)), r.deal % buckets, -r["size"], r.key))
+    sums, out = {}, Counter()
+    for r in order:
+        before = sums.setdefault(r.source, r.start % unit)
+        sums[r.source] = before + math.floor(r.taken * unit / r["size"] + 0.5)
+        out[r.doc_id] = sums[r.source] // unit - before // unit
+    return +out
+
+
 def test_stages_one_after_the_other(spark):
     prepare(spark)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -42,9 +61,7 @@ def test_stages_one_after_the_other(spark):
     kept = [(r, k.decode("utf-8", "ignore")) for r, (_, _, k) in zip(rows[2], suffix_dedup.removed_of([(r.doc_id, r.text) for r in rows[2]]))]
     assert [(r.doc_id, r.text, r.n_chars) for r in rows[3]] == [(r.doc_id, t, len(t)) for r, t in kept if t]
 
-    size = {r.doc_id: quality_rules.base_counts(r.text)[0] for r in rows[3]}
-    taken = {r.doc_id: r.taken for r in mixing.mix(steps[3]).collect()}
-    assert Counter(r.doc_id for r in rows[4]) == Counter({i: int(taken[i] / n + 0.5) for i, n in size.items() if n and int(taken[i] / n + 0.5)})
+    assert Counter(r.doc_id for r in rows[4]) == carried(mixing.mix(steps[3]))
 
     text = {r.doc_id: r.text for r in rows[4]}
     assert {r.doc_id for r in rows[5]} == set(text)
