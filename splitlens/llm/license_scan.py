@@ -6,13 +6,18 @@ start at one of the template's words are enough, as others hold no more of them.
 are ordered by their frequency in the whole corpus, rare ones first. A block that reaches the
 threshold t shares a word with the prefix, the first ``|T| - ceil(t |T|) + 1`` template words;
 only blocks around such words are looked at (prefix filter). A block with too few template
-words, repeats included, is dropped before its distinct ones are counted (length filter).
+words, repeats included, is dropped (length filter), and so is one whose rarest template word
+stands so late in the order that the words behind it, in the template or in the block, are too
+few (positional filter). The distinct words of the rest are counted.
+
+Licenses of one family differ in a word. If nearly all words of a template T are words of
+another label's template U, then T's words that U lacks are required, whatever the threshold;
+and where blocks of both overlap, the one with fewer template words is dropped, as U's text
+alone would have matched T.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
@@ -26,7 +31,14 @@ from . import words as W
 THRESHOLD = 0.9
 #: Phrases whose every place counts.
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
-#: Short notices by label; a label may have several.
+_BSD = ("redistribution and use in source and binary forms with or without modification are permitted provided that the "
+        "following conditions are met")
+_BSD_2 = ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+          "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+          "disclaimer in the documentation and or other materials provided with the distribution")
+_BSD_3 = ("neither the name of the nor the names of its contributors may be used to endorse or promote products derived from this "
+          "software without specific prior written permission")
+#: Notices by label; a label may have several.
 TEMPLATES = [
     ("mit", "licensed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
@@ -34,18 +46,34 @@ TEMPLATES = [
     ("apache-2", "licensed under the apache license version 2 0"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at "
                  "http www apache org licenses license 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nd", "licensed under cc by nd 4 0"),
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0"),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0"),
     ("cc0", "dedicated to the public domain under the cc0 1 0 universal public domain dedication"),
     ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("gpl-2", "gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-2", "gnu general public license version 2 june 1991"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
+    ("gpl-3", "gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-3", "gnu general public license version 3 29 june 2007"),
     ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
+    ("lgpl-3", "gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-3", "gnu lesser general public license version 3 29 june 2007"),
     ("agpl-3", "licensed under the gnu affero general public license version 3"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that "
-              "the following conditions are met"),
+    ("agpl-3", "gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3", "gnu affero general public license version 3 19 november 2007"),
+    ("bsd", f"{_BSD}"),
+    ("bsd-2", f"{_BSD} {_BSD_2}"),
+    ("bsd-3", f"{_BSD} {_BSD_2} {_BSD_3}"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
 
@@ -113,6 +141,12 @@ class Scanner:
             own = sorted({number[w] for w in ws}, key=lambda k: self.rank[k])
             need = ceil(threshold * len(own) - 1e-9)
             self.templates.append((label, len(ws), own, need))
+        self.required: list[set[int]] = []
+        self.confused: list[set[int]] = []
+        for label, _, own, need in self.templates:
+            near = [k for k, (other, _, its, _) in enumerate(self.templates) if other != label and len({*own} & {*its}) >= need]
+            self.confused.append(set(near))
+            self.required.append(set().union(*({*own} - {*self.templates[k][2]} for k in near)))
         self.members = np.zeros((len(self.templates), len(counts) + 1), bool)
         self.prefixes = np.zeros((len(self.templates), len(counts) + 1), bool)  # last column: other words
         for k, (_, _, own, need) in enumerate(self.templates):
@@ -121,39 +155,74 @@ class Scanner:
 
     def blocks(self, ids: np.ndarray, at: np.ndarray):
         """Yield (row, template, first word, end word, containment) of the blocks that meet the
-        threshold, each cut to the words that count: in every stretch of overlapping blocks the
-        first one with the most template words, and again behind it."""
-        for k, (_, length, own, need) in enumerate(self.templates):
-            hits = np.flatnonzero(self.prefixes[k][ids])
-            if not len(hits):
-                continue
-            p = np.flatnonzero(self.members[k][ids])
-            row = np.searchsorted(at, p, side="right") - 1
-            i = np.arange(len(p))
-            j = np.searchsorted(p, np.minimum(p + 2 * length, at[row + 1]))  # a block is p[i:j]
-            behind = np.append(p, len(ids))[j - 1]
-            some = (j - i >= need) & (np.searchsorted(hits, behind, side="right") > np.searchsorted(hits, p))
-            some = np.flatnonzero(some)
-            if not len(some):
-                continue
-            word = ids[p]
-            order = np.lexsort((i, word))
-            last = np.full(len(p), -1)  # the place before of the same word
-            again = word[order][1:] == word[order][:-1]
-            last[order[1:][again]] = order[:-1][again]
-            found = np.array([np.count_nonzero(last[a:j[a]] < a) for a in some.tolist()])
-            some, found = some[found >= need], found[found >= need]
-            n = 0
-            while n < len(some):
-                near = n + int(np.searchsorted(p[some[n:]], min(p[some[n]] + 2 * length, at[row[some[n]] + 1])))
-                best = n + int(found[n:near].argmax())
-                a = int(some[best])
-                z = a + int(np.flatnonzero(last[a:j[a]] < a)[-1]) + 1
-                while (word[a + 1:z] == word[a]).any():
-                    a += 1
-                r = int(row[a])
-                yield r, k, int(p[a] - at[r]), int(p[z - 1] + 1 - at[r]), int(found[best]) / len(own)
-                n = int(np.searchsorted(some, z))
+        threshold and no block of a confused template covers better, row by row."""
+        found: dict[int, list] = {}
+        for k in range(len(self.templates)):
+            for r, *block in self._blocks_of(k, ids, at):
+                found.setdefault(r, []).append((k, *block))
+        for r, own in sorted(found.items()):
+            for k, a, z, n in own:
+                better = any(o in self.confused[k] and m > n and a < end and first < z for o, first, end, m in own)
+                if not better:
+                    yield r, k, a, z, n / len(self.templates[k][2])
+
+    def _candidates(self, k: int, ids: np.ndarray, at: np.ndarray):
+        """Places of the template's words, the end (as a place) of the block from each, and the
+        blocks that pass the filters."""
+        _, length, own, need = self.templates[k]
+        hits = np.flatnonzero(self.prefixes[k][ids])
+        p = np.flatnonzero(self.members[k][ids]) if len(hits) else hits
+        if not len(p):
+            return p, p, p, p
+        row = np.searchsorted(at, p, side="right") - 1
+        i = np.arange(len(p))
+        j = np.searchsorted(p, np.minimum(p + 2 * length, at[row + 1]))  # a block is p[i:j]
+        behind = np.append(p, len(ids))[j - 1]
+        some = np.flatnonzero((j - i >= need) & (np.searchsorted(hits, behind, side="right") > np.searchsorted(hits, p)))
+        word = ids[p]
+
+        def inside(w: int) -> np.ndarray:
+            upto = np.append(0, np.cumsum(word == w))
+            return upto[j[some]] - upto[some]
+
+        if len(some):
+            most, open_ = np.zeros(len(some), np.int64), np.ones(len(some), bool)
+            for place, w in enumerate(own[:len(own) - need + 1]):  # the rarest word present
+                n = inside(w)
+                first = open_ & (n > 0)
+                most[first] = 1 + np.minimum(len(own) - place - 1, j[some][first] - some[first] - n[first])
+                open_ &= n == 0
+            some = some[most >= need]
+        for w in self.required[k]:
+            some = some[inside(w) > 0] if len(some) else some
+        return p, row, j, some
+
+    def _blocks_of(self, k: int, ids: np.ndarray, at: np.ndarray):
+        """Yield (row, first word, end word, template words) of one template's blocks, each cut to
+        the words that count: in every stretch of overlapping blocks the first one with the most
+        template words, and again behind it."""
+        _, length, _, need = self.templates[k]
+        p, row, j, some = self._candidates(k, ids, at)
+        if not len(some):
+            return
+        word = ids[p]
+        order = np.lexsort((np.arange(len(p)), word))
+        last = np.full(len(p), -1)  # the place before of the same word
+        again = word[order][1:] == word[order][:-1]
+        last[order[1:][again]] = order[:-1][again]
+        found = np.array([np.count_nonzero(last[a:j[a]] < a) for a in some.tolist()])
+        some, found = some[found >= need], found[found >= need]
+        n = 0
+        while n < len(some):
+            near = n + int(np.searchsorted(p[some[n:]], min(p[some[n]] + 2 * length, at[row[some[n]] + 1])))
+            best = n + int(found[n:near].argmax())
+            a = int(some[best])
+            z = a + int(np.flatnonzero(last[a:j[a]] < a)[-1]) + 1
+            while (word[a + 1:z] == word[a]).any():
+                a += 1
+            r = int(row[a])
+            yield r, int(p[a] - at[r]), int(p[z - 1] + 1 - at[r]), int(found[best])
+            n = int(np.searchsorted(some, z))
 
     def places(self, ids: np.ndarray, at: np.ndarray):
         """Yield (row, phrase, words) for every phrase that stands in a row."""
@@ -212,36 +281,14 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, temp
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; whole texts are read.
     Null and empty texts have no words, labels '' and score 0. The score is the largest
     containment of a block found, 1 where a phrase stands. Repeated rows are scanned each; other
-    columns pass through, but ``docs`` must have none named ``license``. Words of equal frequency
+    columns pass through, but for one named ``license``, which the result replaces. Words of equal frequency
     are ordered by name, so results do not depend on the partitioning; they do not depend on the
     frequencies either, which only decide how many blocks are looked at.
     """
+    docs = docs.drop("license")
     vocabulary = Vocabulary(templates, phrases)
     counts = frequencies(docs, vocabulary, text)
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
     out = (f"license struct<n_words: long, n_base: long, first_word: long, last_word: long, base_labels: string, labels: string, "
            f"score: double, matches: {_MATCHES}>")
     return docs.mapInArrow(_scan(vocabulary, counts, threshold, docs.columns, docs.columns.index(text)), f"{fields}, {out}")
-
-
-def scan_of(text: str | None, threshold: float = THRESHOLD):
-    """One text by plain string work over every block of every template, as a check for tests."""
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
-    places = [(label, i) for label, p in PHRASES.items() for i in range(len(w)) if w[i:i + len(p.split())] == p.split()]
-    base = {x for x, _ in places}
-    labels, score = set(base), 1.0 if base else 0.0
-    for label, t in TEMPLATES:
-        n, own, inside, most = len(t.split()), set(t.split()), Counter(), 0
-        for i, x in enumerate(w):
-            if x in own:
-                inside[x] += 1
-            if i >= 2 * n and w[i - 2 * n] in own:
-                inside[w[i - 2 * n]] -= 1
-                inside += Counter()
-            most = max(most, len(inside))
-        if most / len(own) >= threshold - 1e-9:
-            labels.add(label)
-            score = max(score, most / len(own))
-    at = [i for _, i in places]
-    return (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)
