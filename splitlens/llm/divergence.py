@@ -209,7 +209,7 @@ def _dealt(docs: DataFrame, shards: DataFrame) -> DataFrame:
             heads = np.flatnonzero(batch.column("first").is_valid().to_numpy(zero_copy_only=False)).tolist()
             for lo, hi in zip([0, *heads], [*heads, batch.num_rows]):
                 part = batch.slice(lo, hi - lo)
-                if lo in heads:
+                if lo in heads and part.num_rows:
                     row = part.slice(0, 1).to_pylist()[0]
                     known, which, part = Vocabulary([row]), row["lang"], part.slice(1)
                 if part.num_rows:
@@ -249,38 +249,39 @@ def _matrix(shares: np.ndarray, cells: list[np.ndarray], width: int) -> np.ndarr
     return out
 
 
-def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = {name: batch.column(name) for name in batch.schema.names}
-        for i in range(batch.num_rows):
-            width = at["width"][i].as_py()
-            zero = [dict(zip(("slot", "p"), _cells(at[c], i))) for c in ("zero_a", "zero_b")]
-            a, b = (_matrix(z["p"], _cells(at[c], i), width) for z, c in zip(zero, ("cells_a", "cells_b")))
-            same = at["tile_a"][i].as_py() == at["tile_b"][i].as_py()
-            first, second, total = [], [], []
-            for k in range(len(a)):
-                own = np.abs(b[k + 1:] - a[k]).sum(axis=1) if same else np.abs(b - a[k]).sum(axis=1)
-                total.append(own)
-                first.append(np.full(len(own), at["tile_a"][i].as_py() * TILE + k))
-                second.append(at["tile_b"][i].as_py() * TILE + np.arange(len(b) - len(own), len(b)))
-            yield pa.RecordBatch.from_arrays([pa.array([at["lang"][i].as_py()] * sum(map(len, total)), pa.string()),
-                                              *(pa.array(np.concatenate(x).astype(np.int64)) for x in (first, second, total))], names=["lang", "a", "b", "part"])
-
-
-def pair_sums(groups: DataFrame, cells: DataFrame) -> DataFrame:
+def _block_sums(tile: int):
+    """From a block's shares of two tiles of sources: the sum of differences of each pair."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {name: batch.column(name) for name in batch.schema.names}
+            for i in range(batch.num_rows):
+                width, tile_a, tile_b = (at[c][i].as_py() for c in ("width", "tile_a", "tile_b"))
+                a, b = (_matrix(_cells(at[f"zero_{x}"], i)[1], _cells(at[f"cells_{x}"], i), width) for x in "ab")
+                first, second, total = [], [], []
+                for k in range(len(a)):
+                    own = np.abs(b[k + 1:] - a[k]).sum(axis=1) if tile_a == tile_b else np.abs(b - a[k]).sum(axis=1)
+                    total.append(own)
+                    first.append(np.full(len(own), tile_a * tile + k))
+                    second.append(tile_b * tile + np.arange(len(b) - len(own), len(b)))
+                yield pa.RecordBatch.from_arrays([pa.array([at["lang"][i].as_py()] * sum(map(len, total)), pa.string()),
+                                                  *(pa.array(np.concatenate(x).astype(np.int64)) for x in (first, second, total))], names=["lang", "a", "b", "part"])
+    return run
+
+
+def pair_sums(groups: DataFrame, cells: DataFrame, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """lang, a, b, value for a < b: distances of two sources of a language, by their numbers."""
     of_lang = groups.groupBy("lang").agg(F.first("size").alias("size"), F.count("*").alias("sources"))
     none = of_lang.where("size = 0").select("lang", "sources", F.explode(F.expr("sequence(0L, sources - 1)")).alias("a"))
     none = none.where("a < sources - 1").select("lang", "a", F.explode(F.expr("sequence(a + 1, sources - 1)")).alias("b"), F.lit(0).cast("long").alias("value"))
-    grid = of_lang.where("size > 0 and sources > 1").select("lang", "size", F.expr(f"(sources - 1) div {TILE}").alias("last"), F.explode(F.expr(f"sequence(0L, (size - 1) div {BLOCK})")).alias("block"))
+    grid = of_lang.where("size > 0 and sources > 1").select("lang", "size", F.expr(f"(sources - 1) div {tile}").alias("last"), F.explode(F.expr(f"sequence(0L, (size - 1) div {block})")).alias("block"))
     grid = grid.select("*", F.explode(F.expr("sequence(0L, last)")).alias("tile_a"))
-    grid = grid.select("lang", "block", "tile_a", F.explode(F.expr("sequence(tile_a, last)")).alias("tile_b"), F.least(F.lit(BLOCK), F.col("size") - BLOCK * F.col("block")).alias("width"))
+    grid = grid.select("lang", "block", "tile_a", F.explode(F.expr("sequence(tile_a, last)")).alias("tile_b"), F.least(F.lit(block), F.col("size") - block * F.col("block")).alias("width"))
     zero = groups.where("size > 0").groupBy("lang", "tile").agg(F.array_sort(F.collect_list(F.struct("slot", "p0"))).alias("zero"))
     filled = staged(cells.groupBy("lang", "block", "tile").agg(F.collect_list(F.struct("slot", "place", "p")).alias("cells")), "cells")
     for side in "ab":
         grid = grid.join(zero.select("lang", F.col("tile").alias(f"tile_{side}"), F.col("zero").alias(f"zero_{side}")), ["lang", f"tile_{side}"])
         grid = grid.join(filled.select("lang", "block", F.col("tile").alias(f"tile_{side}"), F.col("cells").alias(f"cells_{side}")), ["lang", "block", f"tile_{side}"], "left")
-    sums = grid.mapInArrow(_block_sums, "lang string, a long, b long, part long")
+    sums = grid.mapInArrow(_block_sums(tile), "lang string, a long, b long, part long")
     return sums.groupBy("lang", "a", "b").agg(F.sum("part").alias("value")).unionByName(none)
 
 
@@ -301,7 +302,8 @@ def terms_by_ordinal(wanted: DataFrame, shards: DataFrame) -> DataFrame:
     return asked.join(shards, ["lang", "shard"]).mapInArrow(run, "lang string, ordinal long, item string")
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, broadcast_bytes: int = BROADCAST_BYTES, shard_terms: int = SHARD_TERMS) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, broadcast_bytes: int = BROADCAST_BYTES,
+          shard_terms: int = SHARD_TERMS, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """lang, source, part, item, value, rank.
 
     Part ``pair``: every other source of the language with the sum of the differences of the
@@ -322,12 +324,12 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, broadcast_b
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1  # a row for each source
     groups = groups.withColumn("number", number.cast("long"))
     p0 = F.when(F.col("size") > 0, share(F.lit(0), F.col("total"), F.col("size")))
-    groups = staged(groups.select("*", F.expr(f"number div {TILE}").alias("tile"), (F.col("number") % TILE).cast("int").alias("slot"), p0.alias("p0")), "groups")
+    groups = staged(groups.select("*", F.expr(f"number div {tile}").alias("tile"), (F.col("number") % tile).cast("int").alias("slot"), p0.alias("p0")), "groups")
 
     cells = counts.join(groups.select("lang", "source", "total", "size", "tile", "slot"), ["lang", "source"])
     cells = cells.withColumn("p", share(F.col("n"), F.col("total"), F.col("size")))
-    blocks = cells.select("lang", F.expr(f"ordinal div {BLOCK}").alias("block"), "tile", "slot", (F.col("ordinal") % BLOCK).cast("int").alias("place"), "p")
-    sums = pair_sums(groups, blocks)
+    blocks = cells.select("lang", F.expr(f"ordinal div {block}").alias("block"), "tile", "slot", (F.col("ordinal") % block).cast("int").alias("place"), "p")
+    sums = pair_sums(groups, blocks, block, tile)
     names = groups.select("lang", "number", "source")
     sums = staged(sums, "pairs")
     sums = sums.union(sums.select("lang", "b", "a", "value"))

@@ -101,16 +101,14 @@ def small(spark):
     return spark.createDataFrame(rows, "text string, lang string, source string"), rows
 
 
-def test_both_ways_of_recounting(spark, monkeypatch):
+def test_both_ways_of_recounting(spark):
     prepare(spark)
     df, rows = small(spark)
     want = plain(rows, 8, 4)
     assert want and {r[2] for r in want} == {"pair", "term"}
     assert rows_of(divergence.audit(df, 8, 4)) == want
     assert rows_of(divergence.audit(df, 8, 4, broadcast_bytes=0, shard_terms=2)) == want
-    monkeypatch.setattr(divergence, "TILE", 2)  # several tiles and blocks
-    monkeypatch.setattr(divergence, "BLOCK", 3)
-    assert rows_of(divergence.audit(df, 8, 4, shard_terms=3)) == want
+    assert rows_of(divergence.audit(df, 8, 4, shard_terms=3, block=3, tile=2)) == want
 
 
 def test_awkward_rows(spark):
