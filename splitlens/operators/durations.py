@@ -67,7 +67,7 @@ def process_durations(merged: DataFrame, mode: str = "segmented",
                       rows: int | None = None) -> DataFrame:
     """C4: kept rows of each visit with step and total durations (seconds, minutes,
     hours; intervals are reported as seconds).  ``merged`` should be a stage table."""
-    heat = find_heat(merged, KEYS, ORDER, mode, rows)
+    heat, _ = find_heat(merged, KEYS, ORDER, mode, rows)
     d = merged.select("client_id", "clnt_age", "gendr", "variation", "visitor_id", "visit_id",
                       "date_time", "process_step", "event_seq")
     # rows without a visit or a time are never kept, nor part of a visit's maxima

@@ -14,25 +14,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stage import stage_table
-from .sequence import segment_rows, split_null_keys
+from .sequence import segment_rows, shuffle_tasks, split_null_keys
 
 SALT = "_salt"
 
 
-def hot_keys(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame | None:
-    """The keys with more than ``rows`` rows on a side: ``on``, ``_salts`` (parts of ``rows``
-    rows on the larger side) and ``_left`` (that is the left one).  None without any;
-    otherwise the table has at most a row for each ``rows`` rows of both sides."""
-    sizes = []
-    for df, is_left in ((left, True), (right, False)):
-        present, _ = split_null_keys(df, on)
-        n = present.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
-        sizes.append(n.withColumn("_left", F.lit(is_left)))
-    big = sizes[0].unionByName(sizes[1]).groupBy(*on).agg(
-        F.ceil(F.max("_n") / rows).cast("int").alias("_salts"),
-        F.max_by("_left", F.struct("_n", "_left")).alias("_left"))
-    found = stage_table(big, "hot-join-keys")
-    return None if found.isEmpty() else found
+def hot_keys(left: DataFrame, right: DataFrame, on: list[str],
+             rows: int | None = None) -> DataFrame | None:
+    """The keys with more than ``rows`` rows on a side (by default an even share of all rows over
+    several parts for each shuffle partition): ``on``, ``_salts`` (parts of ``rows`` rows on
+    the larger side) and ``_left`` (that is the left one).  None without any; otherwise the
+    table has at most a row for each ``rows`` rows of both sides."""
+    both = [split_null_keys(df, on)[0].select(*on, F.lit(is_left).alias("_l"))
+            for df, is_left in ((left, True), (right, False))]
+    sizes = both[0].unionByName(both[1]).groupBy(*on).agg(
+        F.count_if("_l").alias("_nl"), F.count_if(~F.col("_l")).alias("_nr"))
+    most = F.greatest("_nl", "_nr")
+    seen = sizes.agg(F.max(most).alias("largest"), F.sum(F.col("_nl") + F.col("_nr")).alias("total")).first()
+    rows = rows or segment_rows(seen.total or 0, shuffle_tasks(left))
+    if (seen.largest or 0) <= rows:
+        return None
+    return stage_table(sizes.where(most > rows).select(
+        *on, F.ceil(most / rows).cast("int").alias("_salts"),
+        (F.col("_nl") >= F.col("_nr")).alias("_left")), "hot-join-keys")
 
 
 def _salted(df: DataFrame, on: list[str], hot: DataFrame, deals: bool) -> DataFrame:
@@ -59,12 +63,10 @@ def full_outer(left: DataFrame, right: DataFrame, on: str | list[str],
                rows: int | None = None) -> DataFrame:
     """``left`` full outer join ``right`` with one key column (USING); a null key has no partner.
 
-    Both sides are read three times (sizes, inner, anti), so they should be stored or cheap.
-    ``rows`` is the size above which a key is salted (by default an even share of both sides'
-    rows over several parts for each shuffle partition).
+    Both sides are read for the sizes of their keys, the inner join and the anti joins, so they
+    should be stored or cheap.  ``rows`` is the size above which a key is salted.
     """
     on = [on] if isinstance(on, str) else list(on)
-    rows = rows or max(segment_rows(left), segment_rows(right))
     hot = hot_keys(left, right, on, rows)
     columns = [*left.columns, *(c for c in right.columns if c not in on)]
     out = inner(left, right, on, hot).select(*columns)

@@ -33,6 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.search import count_below
 from ..sources.stage import stage_table
 
 SEGMENT = "_seg"
@@ -66,9 +67,7 @@ def struct_order(order: Sequence[str]) -> Column:
 # -- null keys, hot keys and their cut points ---------------------------------------------
 def split_null_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with all keys present, and the others."""
-    present = F.lit(True)
-    for k in keys:
-        present = present & F.col(k).isNotNull()
+    present = _all_present(keys)
     return df.where(present), df.where(~present)
 
 
@@ -82,20 +81,6 @@ def _sequence(seq: str) -> Column:
     return F.coalesce(F.col(seq).cast("long"), F.lit(NULLS_LAST))
 
 
-def _below(cuts: Column, x: Column) -> Column:
-    """How many of the ascending ``cuts`` lie below ``x``, by binary search."""
-    def half(found: Column, _: Column) -> Column:
-        lo, hi = found["lo"], found["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        up = F.get(cuts, mid) < x
-        return F.when(lo < hi, F.struct(F.when(up, mid + 1).otherwise(lo).alias("lo"),
-                                        F.when(up, hi).otherwise(mid).alias("hi"))).otherwise(found)
-
-    steps = F.sequence(F.lit(1), F.lit(MAX_CUTS.bit_length() + 1))
-    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
-    return F.aggregate(steps, start, half, lambda found: found["lo"])
-
-
 def _quantiles(df: DataFrame, by: list[str], value: Column, parts: Column, most: int) -> DataFrame:
     """``by`` and ``_cuts``: cut points of ``value`` into ``_parts`` (of at most ``most``) parts of
     equal counts per group, ascending and with repeats.  The sketch's rank error is below
@@ -132,36 +117,50 @@ class Heat:
         null for other keys."""
         time, seq = _micros(self.order[0]), _sequence(self.order[1])
         d = self._matched(df, "left")
-        d = d.withColumn("_at", F.when(F.col("_cuts").isNotNull(), _below(F.col("_cuts"), time)))
+        d = d.withColumn("_at", F.when(F.col("_cuts").isNotNull(), count_below(F.col("_cuts"), time, MAX_CUTS)))
         on_cut = F.get("_cuts", F.col("_at")) == time
-        sub = F.when(on_cut, 1 + _below(F.get("_subcuts", F.col("_at")), seq)).otherwise(0)
+        sub = F.when(on_cut, 1 + count_below(F.get("_subcuts", F.col("_at")), seq, MAX_CUTS)).otherwise(0)
         segment = F.col("_at").cast("long") * SUB + F.coalesce(sub, F.lit(0))
         return d.withColumn(SEGMENT, segment).drop("_cuts", "_subcuts", "_at")
 
 
-def segment_rows(df: DataFrame) -> int:
-    """Rows above which a key of ``df`` is hot (one pass over no column)."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_ROWS, math.ceil(df.count() / (SEGMENTS_PER_TASK * tasks)))
+def segment_rows(total: int, tasks: int) -> int:
+    """Rows above which a key is hot in a table of ``total`` rows."""
+    return max(MIN_ROWS, math.ceil(total / (SEGMENTS_PER_TASK * tasks)))
+
+
+def shuffle_tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _all_present(keys: Sequence[str]) -> Column:
+    present = F.lit(True)
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    return present
 
 
 def find_heat(df: DataFrame, keys: Sequence[str], order: Sequence[str], mode: str = "segmented",
-              rows: int | None = None) -> Heat | None:
-    """The hot keys of ``df`` with segments of about ``rows`` rows; None when there are none.
+              rows: int | None = None) -> tuple[Heat | None, bool]:
+    """The hot keys of ``df``, None when there are none, and whether there are null keys.
 
-    ``df`` should be a stored table: it is read for the counts and, if any key is hot, for
-    the cut points of the hot keys' rows.  ``order`` names a time and a sequence column.
+    ``df`` should be a stored table: it is read once for the counts and, if any key is hot,
+    again for the cut points of the hot keys' rows.  ``order`` names a time and a sequence
+    column; segments have about ``rows`` rows at most.
     """
     if mode == "window":
-        return None
-    rows = rows or segment_rows(df)
+        return None, True
     keys, order = tuple(keys), tuple(order)
+    present = _all_present(keys)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    seen = sizes.agg(F.max(F.when(present, F.col("_n"))).alias("largest"),
+                     F.sum("_n").alias("total"), F.max(~present).alias("nulls")).first()
+    rows = rows or segment_rows(seen.total or 0, shuffle_tasks(df))
+    if (seen.largest or 0) <= rows:
+        return None, bool(seen.nulls)
+    largest = seen.largest
+    sizes = stage_table(sizes.where(present & (F.col("_n") > rows)), "hot-keys")
     present, _ = split_null_keys(df, keys)
-    sizes = present.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
-    sizes = stage_table(sizes, "hot-keys")
-    largest = sizes.agg(F.max("_n")).first()[0]
-    if largest is None:
-        return None
     most = min(MAX_CUTS, math.ceil(2 * largest / rows))
     parts = F.least(F.lit(most), F.ceil(2 * F.col("_n") / rows)).cast("int")
     hot = present.join(F.broadcast(sizes), list(keys)).select(
@@ -181,7 +180,7 @@ def find_heat(df: DataFrame, keys: Sequence[str], order: Sequence[str], mode: st
     table = cuts.join(F.broadcast(subs), list(keys), "left").select(
         *keys, distinct.alias("_cuts"),
         F.transform(distinct, lambda t: F.coalesce(F.col("_subs")[t], none)).alias("_subcuts"))
-    return Heat(keys, order, stage_table(table, "heat"))
+    return Heat(keys, order, stage_table(table, "heat")), bool(seen.nulls)
 
 
 # -- scans --------------------------------------------------------------------------------

@@ -23,12 +23,9 @@ def _scanned(df: DataFrame, keys: list[str], mode: str, rows: int | None,
              counted: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """Rows ready for an ordered scan by ``keys`` (with segments if there are hot keys), and
     the rows with a null key if there are any.  ``counted`` is the stored table that ``df``
-    adds columns to; looking there for null keys is a scan that file statistics can skip."""
-    counted = df if counted is None else counted
-    heat = find_heat(counted, keys, ORDER, mode, rows)
-    present, rest = split_null_keys(df, keys)
-    if split_null_keys(counted, keys)[1].isEmpty():
-        present, rest = df, None
+    adds columns to, so that its keys are counted without computing those."""
+    heat, nulls = find_heat(df if counted is None else counted, keys, ORDER, mode, rows)
+    present, rest = split_null_keys(df, keys) if nulls else (df, None)
     return (present if heat is None else heat.add_segment(present)), rest
 
 

@@ -83,7 +83,8 @@ def test_no_segment_is_above_twice_the_median(spark, name, key):
     """(Rows of one instant stay together up to a segment's size, so instants of about that
     size give uneven segments, but none above the bound.)"""
     df = skewed(spark, n_hot=6000, **TABLES[name])
-    heat = find_heat(df, [key], sessions.ORDER, rows=200)
+    heat, nulls = find_heat(df, [key], sessions.ORDER, rows=200)
+    assert nulls == (key == "visit_id" and "null_visits" in TABLES[name])
     cut = heat.add_segment(df)
     assert cut.count() == df.count()
     hot = cut.where(F.col(SEGMENT).isNotNull()).groupBy(key, SEGMENT).count().collect()
@@ -103,7 +104,7 @@ def test_tasks_are_even(spark):
     tenth of the rows without a visit."""
     df = skewed(spark, n_hot=20000, n_other=4000, **TABLES["hot visit-day"])
     present, _ = sequence.split_null_keys(df, ["visit_id"])
-    heat = find_heat(df, ["visit_id"], sessions.ORDER, rows=24000 // (8 * 32))
+    heat, _ = find_heat(df, ["visit_id"], sessions.ORDER, rows=24000 // (8 * 32))
     dealt = heat.add_segment(present).repartition(8, "visit_id", SEGMENT)
     tasks = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert len(tasks) == 8 and max(tasks) <= 2 * median(tasks)
@@ -111,9 +112,9 @@ def test_tasks_are_even(spark):
 
 def test_no_hot_key_adds_nothing(spark):
     df = skewed(spark)
-    assert find_heat(df, ["client_id"], sessions.ORDER) is None
-    assert find_heat(df, ["client_id"], sessions.ORDER, mode="window", rows=1) is None
-    assert find_heat(df.limit(0), ["client_id"], sessions.ORDER, rows=1) is None
+    assert find_heat(df, ["client_id"], sessions.ORDER) == (None, False)
+    assert find_heat(df, ["client_id"], sessions.ORDER, mode="window", rows=1)[0] is None
+    assert find_heat(df.limit(0), ["client_id"], sessions.ORDER, rows=1) == (None, False)
 
 
 def plan(df):
