@@ -62,6 +62,32 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.summary(documents(spark, sf_dir))
 
 
+#: Every 100-byte string of every text, those seen before, and the runs that they cover.
+ORACLE["op4_suffix_dedup"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+strings AS (
+  SELECT r, i, b[i + 1:i + 100] AS s
+  FROM (SELECT r, b, unnest(range(0, octet_length(b) - 99)) AS i FROM docs WHERE octet_length(b) >= 100)),
+again AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY r, i) AS k FROM strings) WHERE k > 1),
+marked AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM again),
+spans AS (
+  SELECT r, min(i) AS a, max(i) + 100 AS z
+  FROM (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS span FROM marked) GROUP BY r, span),
+cut AS (
+  SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+kept AS (
+  SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans,
+         string_agg(CASE WHEN a > before THEN hex(b[before + 1:a]) ELSE '' END, '' ORDER BY a) AS k, max(z) AS last
+  FROM cut JOIN docs USING (r) GROUP BY r)
+SELECT d.doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       CASE WHEN k IS NULL THEN sha256(d.b)
+            ELSE sha256(unhex(k || CASE WHEN last < octet_length(d.b) THEN hex(d.b[last + 1:octet_length(d.b)]) ELSE '' END)) END AS kept_sha256
+FROM docs d LEFT JOIN kept USING (r)
+"""
+
+
 @query("op1_source_mixing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
