@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from . import words as W
 
 PASSAGE = 64
-#: Documents that training reads at most, and of each its first passages at most (scores use all).
+#: Documents that training reads at most, and of each so many passages at most, picked over the
+#: whole text by a hash of their place (scores use all).
 SAMPLE, SAMPLE_PASSAGES = 6000, 256
 BUCKETS = 32
 HIDDEN, GATE = 24, 12
@@ -162,18 +163,26 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def _picked(n: int) -> np.ndarray:
+    """Which of ``n`` passages training reads, in order: all, or those of the least hashes."""
+    with np.errstate(over="ignore"):
+        order = np.argsort(W.mix(np.arange(1, n + 1, dtype=np.uint64) * W.GOLDEN), kind="stable")
+    return np.sort(order[:SAMPLE_PASSAGES])
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passage vectors, bounds and labels of at most ``limit`` labelled documents that are not
-    held out, the first by a hash of doc_id. Only doc_id and text of ``docs`` are read."""
+    held out, the first by a hash of doc_id. A document with several labels has the largest.
+    Only doc_id and text of ``docs`` are read."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    own = own.select(F.col("doc_id").alias("_its"), F.col(label).cast("int").alias("y")).dropDuplicates(["_its"])
+    own = own.select(F.col("doc_id").alias("_its"), F.col(label).cast("int").alias("y")).groupBy("_its").agg(F.max("y").alias("y"))
     own = own.orderBy(F.xxhash64("_its"), "_its").limit(limit)
     picked = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("_its")).select("doc_id", "text", "y")  # at most limit rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, at = passages(batch.column("text"))
-            rows = [x[a:min(b, a + SAMPLE_PASSAGES)].tobytes() for a, b in zip(at[:-1], at[1:])]
+            rows = [x[a:b][_picked(b - a)].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
 
     rows = sorted(picked.mapInArrow(run, "doc_id long, y int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import frequency
 from . import words as W
 from .components import connected_components
-from .staging import staged
+from .staging import staged, unused
 
 #: Groups of one shingle up to which their pairs are counted one by one.
 FEW = 32
@@ -256,9 +256,11 @@ def keep_one(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "row_id", "text_hash")).alias("one")
     first = rows.where("n > 0").groupBy("set_key").agg(one)
     first = first.join(linked.select("set_key", "component"), "set_key", "left").select(F.coalesce("component", "set_key").alias("c"), "one")
-    stay = staged(first.groupBy("c").agg(F.min("one").alias("one")).select(F.col("one.row_id").alias("_row"), F.col("one.text_hash").alias("_hash")), "stay")
-    named = docs.withColumn("_h", F.xxhash64("text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), "_h"))
-    kept = named.join(stay, (F.col("_id") == F.col("_row")) & (F.col("_h") == F.col("_hash"))).dropDuplicates(["_id", "_h"])
+    row, text_hash, own_id, own_hash = unused(docs, "_row", "_hash", "_id", "_h")
+    stay = staged(first.groupBy("c").agg(F.min("one").alias("one")).select(F.col("one.row_id").alias(row), F.col("one.text_hash").alias(text_hash)), "stay")
+    named = docs.withColumn(own_hash, F.xxhash64("text"))
+    named = named.withColumn(own_id, F.coalesce(F.col("doc_id").cast("long"), own_hash))
+    kept = named.join(stay, (F.col(own_id) == F.col(row)) & (F.col(own_hash) == F.col(text_hash))).dropDuplicates([own_id, own_hash])
     wordless = named.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return kept.select(docs.columns).union(wordless.select(docs.columns))
 

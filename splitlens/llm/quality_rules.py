@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .staging import tokenizer_path
+from .staging import tokenizer_path, unused
 
 VOCABULARY = "piece_bpe_32k.model"
 SECOND = "byte_bpe_multi_50k.tiktoken"
@@ -171,14 +171,15 @@ def _measures(column: pa.Array, path: str, second: str) -> dict[str, list]:
     return out
 
 
-def measure(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``docs`` with one struct column ``quality`` of the base counts and token measures.
+def measure(docs: DataFrame, text: str = "text", vocabulary: str | None = None, into: str = "quality") -> DataFrame:
+    """``docs`` with one struct column ``into`` of the base counts and token measures.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A null or empty text counts as one without words: all
     counts 0. Repeated rows are measured each; other columns pass through as they are, so a
     column of ``docs`` named like a measure does not clash. The whole text is measured
-    whatever its length. ``docs`` must not have a column named ``quality`` itself.
+    whatever its length. A column of ``docs`` named ``into`` is replaced.
     """
+    docs = docs.drop(into)
     path, second = vocabulary or tokenizer_path(VOCABULARY), tokenizer_path(SECOND)
     names = docs.columns
     kinds = {"int64": "long", "string": "string", "double": "double"}
@@ -191,9 +192,9 @@ def measure(docs: DataFrame, text: str = "text", vocabulary: str | None = None)
             found = _measures(batch.column(at), path, second)
             cols = [pa.array(found[f.name], f.type) for f in _SCHEMA]
             struct = pa.StructArray.from_arrays(cols, fields=list(_SCHEMA))
-            yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*names, "quality"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*names, into])
 
-    return docs.mapInArrow(run, f"{fields}, quality {quality}")
+    return docs.mapInArrow(run, f"{fields}, `{into}` {quality}")
 
 
 def verdict(quality: str = "quality", bands: dict[str, Band] | None = None, lang=None):
@@ -231,8 +232,9 @@ def apply_rules(docs: DataFrame, text: str = "text", vocabulary: str | None = No
 
 def keep_good(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs`` alone."""
-    base, inside = verdict(lang=_language(docs))
-    return measure(docs, text, vocabulary).where(~base & inside).drop("quality")
+    into, = unused(docs, "_quality")
+    base, inside = verdict(into, lang=_language(docs))
+    return measure(docs, text, vocabulary, into).where(~base & inside).drop(into)
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:

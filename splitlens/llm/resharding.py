@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import staged, unused
 
 OLD_SHARDS, SHARDS = 16, 24
 BLOCK_DOCS = 20_000
@@ -144,7 +144,8 @@ def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     small = small.withColumn("mid", F.col("end") + F.col("offset") - F.expr("size div 2")).drop("end", "offset")
     ranges = F.broadcast(spark.createDataFrame(made.ranges, "its int, lo long, hi long, shard int"))  # at most old + new shards rows
     small = small.join(ranges, (F.col("old") == F.col("its")) & (F.col("mid") >= F.col("lo")) & (F.col("mid") < F.col("hi"))).drop("its", "lo", "hi", "mid")
-    placed = F.broadcast(spark.createDataFrame(sorted({(k, s) for k, _, s in made.large}), "its long, shard int").dropDuplicates(["its"]))  # at most 64 rows a shard
+    first = {k: s for k, _, s in sorted(made.large, key=lambda x: (x[0], -x[2]))}  # equal large rows go to the least of their shards
+    placed = F.broadcast(spark.createDataFrame(sorted(first.items()), "its long, shard int"))  # at most 64 rows a shard
     placed_rows = rows.where(big).join(placed, F.col("key") == F.col("its")).drop("its")
     out = staged(small.unionByName(placed_rows).drop("large"), "assigned")
 
@@ -175,15 +176,16 @@ def rewrite(docs: DataFrame, assigned: DataFrame, path: str) -> list[int]:
     """Write the files of the shards that lose or gain documents under ``path`` (``shard=k``
     folders); return the shards left as they are, whose old files stay valid.
 
-    ``docs`` is the old layout with a column ``old``; ``assigned`` has key, old and shard.
+    ``docs`` is the old layout with a column ``old``; ``assigned`` has key, old and shard. Rows
+    are found by doc_id and text, null or not; equal rows all go to the least of their shards.
+    Other columns are written as they are.
     """
-    spark = docs.sparkSession
     moved = [(r.old, r.shard) for r in moves(assigned).collect() if r.old != r.shard]
     touched = sorted({s for pair in moved for s in pair})
-    key = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    one = assigned.select(F.col("key").alias("_its"), "shard").dropDuplicates(["_its"])
-    out = key.join(one, F.col("_key") == F.col("_its")).where(F.col("shard").isin(touched)).drop("_key", "_its", "old")
+    own, its = unused(docs, "_key", "_its")
+    one = assigned.groupBy(F.col("key").alias(its)).agg(F.min("shard").alias("shard"))
+    keyed = docs.drop("shard").withColumn(own, F.xxhash64("doc_id", "text"))
+    out = keyed.join(one, F.col(own) == F.col(its)).where(F.col("shard").isin(touched)).drop(own, its, "old")
     out.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.partitionBy("shard").parquet(path)
     stay = {r.shard for r in assigned.select("shard").distinct().collect()} - set(touched)
-    spark.catalog.clearCache()
     return sorted(stay)

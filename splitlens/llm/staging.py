@@ -33,6 +33,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until ``docs`` has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """Path of a public vocabulary file; ``folder`` defaults to ``$TOKENIZERS_DIR``."""
     return os.path.join(folder or os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), name)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .staging import staged
+from .staging import staged, unused
 from .suffix_array import permuted_common_prefixes, suffix_array
 
 MATCH, KMER = 100, 40
@@ -209,9 +209,9 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
 _LAST = (1 << 63) - 1 - (1 << 40)
 
 
-def _with_id(docs: DataFrame) -> DataFrame:
+def _with_id(docs: DataFrame, name: str = "rid") -> DataFrame:
     """``rid`` orders the documents: doc_id, and for a null one a place after all others."""
-    return docs.withColumn("rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))))
+    return docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -316,13 +316,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     are all repeats are dropped; null and empty texts stay.
     """
     runs = repeats(docs)
-    named = _with_id(docs)
+    rid, its, found_runs = unused(docs, "_rid", "_its", "_runs")
+    named = _with_id(docs, rid)
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64())] * 2 + [batch.column(at), batch.column("_runs")],
+            own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64())] * 2 + [batch.column(at), batch.column(found_runs)],
                                              names=["rid", "text_hash", "text", "runs"])
             for found in _cut([own]):
                 texts = batch.column(at).to_pylist()
@@ -332,8 +333,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names).filter(mask)
 
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    joined = named.join(runs.select(F.col("rid").alias("_its"), F.col("runs").alias("_runs")), F.col("rid") == F.col("_its"), "left")
-    out = joined.select(*names, "_runs").mapInArrow(run, schema)
+    joined = named.join(runs.select(F.col("rid").alias(its), F.col("runs").alias(found_runs)), F.col(rid) == F.col(its), "left")
+    out = joined.select(*names, found_runs).mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(names) if "n_chars" in names else out
 
 

@@ -1,5 +1,7 @@
 """The passage classifier: vectors by hand, gradients by differences, held-out accuracy."""
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -7,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from splitlens.llm import mil_quality as M
+from splitlens.llm import words as W
 from splitlens.llm.registry import QUERIES
 from splitlens.llm.staging import prepare
 
@@ -57,6 +60,73 @@ def test_passages_by_hand():
     assert last[-M.BUCKETS:].sum() == pytest.approx(1) and not x[at[1], :k].any()
 
 
+def plain_passages(text):
+    """The vectors of one text's passages by plain loops."""
+    raw = (text or "").encode()
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    lower = lambda w: bytes(b + 32 if 65 <= b <= 90 else b for b in w)
+    out = []
+    for k in range(max(1, -(-len(spans) // M.PASSAGE))):
+        own = spans[k * M.PASSAGE:(k + 1) * M.PASSAGE]
+        begin = own[0][0] if k else 0
+        end = spans[(k + 1) * M.PASSAGE][0] if (k + 1) * M.PASSAGE < len(spans) else len(raw)
+        size, some = max(1, end - begin), max(1, len(own))
+        kinds = [sum(b in set(c) for b in raw[begin:end]) / size for c in M._CLASSES.values()]
+        words = [raw[a:b] for a, b in own]
+        starts = [a for a, _ in spans] + [len(raw)]
+        lengths = [starts[k * M.PASSAGE + i + 1] - a for i, (a, _) in enumerate(own)] or [0]
+        low = [lower(w) for w in words]
+        bag = [0.0] * M.BUCKETS
+        for w in low:
+            h = W.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]
+            bag[int(h >> np.uint64(59))] += 1 / some
+        style = [math.log1p(len(own)), math.log1p(size), np.mean(lengths), np.std(lengths), len(set(low)) / some,
+                 sum(a == b for a, b in zip(low, low[1:])) / some, sum(65 <= w[0] <= 90 for w in words) / some,
+                 sum(a != b for a, b in zip(words, low)) / some, math.log1p(len(spans))]
+        out.append(np.array([*kinds, *style, *bag]))
+    return out
+
+
+def plain_score(model, text):
+    """Gated attention over passages, one at a time."""
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    encoded, weights = [], []
+    for x in plain_passages(text):
+        x = (x - model["mean"]) / model["scale"]
+        h = [math.tanh(sum(x[i] * model["E"][i][k] for i in range(len(x))) + model["e"][k]) for k in range(M.HIDDEN)]
+        a = 0.0
+        for k in range(M.GATE):
+            t, g = (sum(h[i] * model[m][i][k] for i in range(M.HIDDEN)) for m in "VU")
+            a += math.tanh(t) * sigmoid(g) * model["w"][k]
+        encoded.append(h)
+        weights.append(math.exp(a))
+    z = [sum(w * h[k] for w, h in zip(weights, encoded)) / sum(weights) for k in range(M.HIDDEN)]
+    return sigmoid(sum(a * b for a, b in zip(z, model["c"])) + model["b"][0])
+
+
+def test_scores_by_plain_loops(spark):
+    prepare(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40").select("doc_id", "text")
+    model = M.train(*M.sample(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet")), epochs=5)
+    df = docs.unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(tables.TEXTS) if t is None or len(t) < 5000], "doc_id long, text string"))
+    text = {r.doc_id: r.text for r in df.collect()}
+    scores = {r.doc_id: r.score for r in M.scored(df, model).collect()}
+    assert set(scores) == set(text) and len({round(s, 6) for s in scores.values()}) > 20
+    for i, s in scores.items():
+        assert s == pytest.approx(plain_score(model, text[i]), abs=1e-5)
+
+
+def test_training_picks_passages_over_the_whole_text(spark):
+    prepare(spark)
+    assert M._picked(3).tolist() == [0, 1, 2] and len(M._picked(10 ** 4)) == M.SAMPLE_PASSAGES
+    halves = [(M._picked(10 ** 4) < 5000).mean(), (M._picked(10 ** 4) > 9000).mean()]
+    assert 0.35 < halves[0] < 0.65 and halves[1] > 0.03
+    df = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    for order in ([(1, 0), (1, 1), (2, 0)], [(1, 1), (2, 0), (1, 0)]):
+        labels = spark.createDataFrame(order, "doc_id long, quality int").repartition(3)
+        assert M.sample(df, labels)[2].tolist() == [1.0, 0.0]
+
+
 def test_gradients_by_differences():
     """One step of training follows the numeric gradient of the loss."""
     rng = np.random.default_rng(0)
