@@ -24,9 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
+
 #: Pages that training reads at most.
 SAMPLE = 400
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
+#: Pages are parsed in parts of about this size, or one by one.
+PART_BYTES = 1 << 20
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -74,6 +78,7 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.tokens, self.hidden = ["html"], [-1], [()], [False]
         self.text: list[tuple[int, int, str]] = []  # (block, node, text)
+        self.places: dict[str, list[int]] = {}  # of the open tags in the stack, so that none is searched for
         stack, block, at = [0], 0, 0
         n = len(source)
         while at < n:
@@ -96,12 +101,8 @@ class Page:
             if m[1]:  # end tag
                 if name in _BLOCK:
                     block += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        del stack[k:]
-                        break
-                    if self.tag[stack[k]] in ("table", "body") and name not in ("table", "body", "html"):
-                        break
+                outer = () if name in ("table", "body", "html") else ("table", "body")
+                self._close(stack, (name,), outer)
                 continue
             if name in ("html", "body") and name in self.tag[:3]:
                 continue
@@ -114,7 +115,7 @@ class Page:
                 self._close(stack, *_CLOSES[name])
             if name in _VOID:
                 if not self.hidden[stack[-1]]:
-                    self.text.append((block, stack[-1], " " if name in ("br", "wbr", "img") else ""))
+                    self.text.append((block, stack[-1], " " if name == "br" else ""))
                 continue
             tokens, unseen = self._attributes(m[3]) if len(m[3]) > 1 else ((), False)
             self.tag.append(name)
@@ -125,16 +126,20 @@ class Page:
                 end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = end.end() if end else n
             elif not m[0].endswith("/>") or name in _BLOCK or name == "a":
+                self.places.setdefault(name, []).append(len(stack))
                 stack.append(len(self.tag) - 1)
 
-    def _close(self, stack: list[int], names: set, within: set) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in names:
-                del stack[k:]
-                return
-            if tag in within:
-                return
+    def _last(self, names) -> int:
+        """The highest place of an open element of these names, 0 without any."""
+        return max((self.places[name][-1] for name in names if self.places.get(name)), default=0)
+
+    def _close(self, stack: list[int], names, within) -> None:
+        """Close the last open element of ``names`` and all in it, if it is not outside of one of
+        ``within``."""
+        place = self._last(names)
+        if place and place >= self._last(within):
+            while len(stack) > place:
+                self.places[self.tag[stack.pop()]].pop()
 
     @staticmethod
     def _attributes(source: str) -> tuple[tuple, bool]:
@@ -208,7 +213,9 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     above_boiler, above_content = [False] * n, [False] * n
     for i in range(1, n):
         tag, tokens, p = page.tag[i], page.tokens[i], parent[i]
-        bad = sum(t in _BOILER_TOKENS for t in tokens) if tag not in ("body", "html") and not heads[i] else 0
+        told = () if tag in ("body", "html") or heads[i] else tokens
+        # a heading's class often says that it heads a section
+        bad = sum(t in _BOILER_TOKENS and not (tag in _HEADING and t in ("header", "masthead")) for t in told)
         good = sum(t in _CONTENT_TOKENS for t in tokens) if tag not in ("body", "html") else 0
         top = tag == "header" and not above_content[p]
         boiler = bool(bad) or tag in _BOILER_TAGS or top
@@ -376,8 +383,11 @@ def extract(pages: DataFrame, model: dict | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column("html").to_pylist(), model)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                                             names=["page_id", "url", "text", "n_chars"])
+            _, offs = W.text_bytes(batch.column("html"))
+            for lo, hi in W.chunks(offs, PART_BYTES):
+                part = batch.slice(lo, hi - lo)
+                texts = texts_of(part.column("html").to_pylist(), model)
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                                                 names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -45,12 +46,23 @@ def model():
     ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     ("<body><nav><ul><li><a href=1>Home</a></ul></nav><main><p>Main text here.</p><form><p>Sign up</p></form></main><aside>Side</aside><footer>F</footer>", "Main text here."),
     ("<main><p style='display: none'>no</p><p hidden>no</p><style>p{}</style><p>yes\n  and\tmore</p></main>", "yes and more"),
+    ("<article><p>super<wbr>cali<img src=x>fragi<br>listic</p></article>", "supercalifragi listic"),
+    ("<article><h2 class='section-header'>Heading</h2><p>Text under it.</p></article>", "Heading\nText under it."),
+    ("<article><table><tr><td><p>in</td></p></tr></table></div><p>out</p></article>", "in\nout"),
     ("", ""), ("a < b", "a < b"), ("<div class=ad>x", ""), ("<article><p>cut off in a ta<a hr", "cut off in a ta"),
 ])
 def test_single_pages(model, source, want):
     assert H.texts_of([source], model) == [want]
 
 
+@pytest.mark.parametrize("source", ["<div>" * 50_000 + "x", "<div>" * 25_000 + "</span>" * 25_000, "<p><button>" + "<div>" * 50_000 + "x",
+                                    "<table>" + "<tr><td>" * 25_000, "<div></p>" * 25_000, "<ul>" + "<li><b>" * 25_000, "<h1><span>" * 25_000])
+def test_nesting_is_read_in_linear_time(source):
+    start = time.perf_counter()
+    H.Page(source)
+    assert time.perf_counter() - start < 2
+
+
 def test_decoding_is_the_best_consistent_choice():
     rng = random.Random(1)
     for _ in range(60):
