@@ -7,13 +7,16 @@
 2. *Packing.* The words of a source, document after document, are cut into blocks of ``block``
    words. A document's offset is a running sum in two levels, within buckets of its source and
    over the bucket sums, so a hot source is spread over many tasks.
-3. *Drawing.* A source gets its target's words in slots of its mean block, one at its limit every
-   block ``MAX_REPEATS`` times. A pseudorandom permutation of all slots
-   deals them to output shards of equal size, which makes each shard's counts per source a
-   multinomial draw given the totals: they vary from shard to shard, the mix as a whole does
-   not miss its targets.
-4. *Mapping.* Slot n of a source with b blocks takes the block that its permutation for pass
-   ``n div b`` puts at ``n mod b``: a block comes again only after all others came.
+3. *Drawing.* A source gets its target's words in slots of its mean block. All slots are laid
+   out in output shards of equal size, and every shard draws its counts per source: the whole
+   part of what each source expects there, and the rest of the shard's slots one by one, from
+   a multinomial whose chances are the remainders. So counts vary from shard to shard and
+   between seeds, a shard needs no other one, and a source's total differs from its target by
+   about the root of the number of shards, in blocks. A source at its limit gives every block
+   ``MAX_REPEATS`` times; its slots are spread evenly, nothing is drawn for it.
+4. *Mapping.* A source's slots are numbered through the shards. Slot n of a source with b blocks
+   takes the block that its permutation for pass ``n div b`` puts at ``n mod b``: a block comes
+   again only after all others came. A slot beyond ``MAX_REPEATS`` passes stays empty.
 5. *Join.* Slots are counted per block and joined with the documents' shares of the blocks.
 
 Permutations are swap-or-not shuffles: bijections of any range, computed for one index alone
@@ -25,13 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+from ..functions.search import count_below
+from .staging import staged, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK, SHARD_SLOTS = 64, 4096
-BUCKET_DOCS = 10_000
-_CHUNK = 4096
+BUCKET_DOCS, BUCKET_SHARDS = 10_000, 1024
+#: Stage 4 carries remainders within buckets of so many documents of a source and size class.
+CARRY_DOCS = 10_000
 _UNIT = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,7 +62,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
-    """Per source: sid, source, source_size, weight, target, blocks, slots, first slot; staged.
+    """Per source: sid, source, source_size, weight, target, blocks, slots, limited; staged.
 
     The table has one row per source, so its windows are small. Sources are numbered by code
     point, null last.
@@ -78,23 +83,69 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BL
     # the last block may be short: slots are counted by the source's mean block
     most = MAX_REPEATS * F.col("blocks")
     by_mean = F.coalesce(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")), F.lit(0.0))
-    own = own.withColumn("slots", F.when(F.col("target") >= limit, most).otherwise(F.least(F.round(by_mean), most)).cast("long"))
-    first = F.sum("slots").over(by_name.rowsBetween(Window.unboundedPreceding, 0)) - F.col("slots")
-    return staged(own.withColumn("first", first).drop("reached", "level"), "targets")
+    own = own.withColumn("limited", F.col("target") >= limit)
+    own = own.withColumn("slots", F.when(F.col("limited"), most).otherwise(F.least(F.round(by_mean), most)).cast("long"))
+    return staged(own.drop("reached", "level"), "targets")
+
+
+def _drawn(shards: DataFrame, free: Column, n_free: int, slots: int, n_shards: int, seed: int) -> DataFrame:
+    """shard, sid, blocks, n: the slots of sources below their limit. ``shards`` has a row per
+    shard, ``free`` is the array of these sources with their slots, ``slots`` in all."""
+    small, more = divmod(slots, n_shards)  # the first ``more`` shards have one slot above ``small``
+    shard = F.col("shard")
+    large = shard < more
+    rows = shards.withColumns({"free": free, "size": F.when(large, F.lit(small + 1)).otherwise(F.lit(small)).cast("long")})
+
+    # the whole parts: a source's slots before this shard have a closed form
+    each = rows.select("shard", F.explode("free").alias("s")).select("shard", "s.*")
+    base = [F.expr(f"({v}L * slots) div {slots}L") for v in (small, small + 1)]
+    before = F.least(shard, F.lit(more)) * base[1] + F.greatest(shard - more, F.lit(0)) * base[0]
+    each = each.select("shard", "sid", "blocks", before.alias("before"), F.when(large, base[1]).otherwise(base[0]).alias("base"))
+    whole = each.where("base > 0").select("shard", "sid", "blocks", "before", F.explode(F.expr("sequence(0L, base - 1)")).alias("i"))
+    whole = whole.select("shard", "sid", "blocks", (F.col("before") + F.col("i")).alias("n"))
+
+    # the remainders: cumulative in units of 1 / slots, so they add up to whole slots
+    cumulative = F.when(large, F.transform("free", lambda s: s["more"])).otherwise(F.transform("free", lambda s: s["few"]))
+    rest = rows.withColumn("cum", cumulative).withColumn("top", F.element_at("cum", -1)).where("top > 0")
+    rest = rest.select("*", F.explode(F.expr(f"sequence(0L, top div {slots}L - 1)")).alias("d"))
+    u = F.pmod(F.xxhash64(F.lit(seed), "shard", "d"), F.col("top"))
+    rest = rest.withColumn("s", F.get("free", count_below(F.col("cum"), u, n_free, or_equal=True))).select("shard", "d", "s.*")
+    fixed = more * base[1] + (n_shards - more) * base[0]
+    rest = rest.select("shard", "d", "sid", "blocks", fixed.alias("fixed"), F.expr(f"shard div {BUCKET_SHARDS}").alias("bucket"))
+    over = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rest.groupBy("sid", "bucket").agg(F.count("*").alias("m"))
+    sums = staged(sums.select("sid", "bucket", F.coalesce(F.sum("m").over(over), F.lit(0)).alias("offset")), "draws")
+    within = F.row_number().over(Window.partitionBy("sid", "bucket").orderBy("shard", "d")) - 1
+    rest = rest.withColumn("i", within).join(sums, ["sid", "bucket"])
+    return whole.unionByName(rest.select("shard", "sid", "blocks", (F.col("fixed") + F.col("offset") + F.col("i")).alias("n")))
 
 
 def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 1) -> DataFrame:
     """Every slot of the mix: shard, slot (its place there), sid, pass, block."""
-    total = sources.agg(F.sum("slots")).first()[0] or 0
     spark = sources.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 500_000)
-    some = sources.where("slots > 0").withColumn("total", F.lit(total).cast("long"))
-    chunks = some.select("*", F.explode(F.expr(f"sequence(0, (slots - 1) div {_CHUNK})")).alias("chunk")).repartition(tasks, "sid", "chunk")
-    each = chunks.select("*", F.explode(F.expr(f"sequence(chunk * {_CHUNK}, least(slots, (chunk + 1) * {_CHUNK}) - 1)")).alias("n"))
-    each = each.select("sid", "blocks", "total", (F.col("first") + F.col("n")).alias("at"), F.expr("n div blocks").alias("pass"), (F.col("n") % F.col("blocks")).alias("index"))
-    each = permuted(each, "at", "total", F.lit(seed), "place")
+    some = sources.where("slots > 0")
+    total, free_slots, n_free = some.agg(F.sum("slots"), F.sum(F.when(~F.col("limited"), F.col("slots"))), F.count_if(~F.col("limited"))).first()
+    n_shards = max(1, -(-(total or 0) // shard_slots))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total or 0) // 500_000)
+
+    # sources at their limit: slot n lies in shard n * shards / slots
+    full = some.where("limited").select("sid", "blocks", "slots", F.explode(F.expr(f"sequence(0, {MAX_REPEATS - 1})")).alias("pass"))
+    full = full.repartition(tasks, "sid", "pass").select("*", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("i"))
+    full = full.withColumn("n", F.col("pass") * F.col("blocks") + F.col("i"))
+    each = full.select(F.floor(F.col("n") / F.col("slots") * n_shards).cast("long").alias("shard"), "sid", "blocks", "n")
+    if free_slots:
+        own = some.where(~F.col("limited"))
+        by_sid = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)  # a row per source
+        small = free_slots // n_shards
+        cum = {name: F.sum(F.expr(f"({v}L * slots) % {free_slots}L")).over(by_sid).alias(name) for name, v in (("few", small), ("more", small + 1))}
+        own = own.select("sid", "slots", "blocks", *cum.values())
+        free = own.agg(F.array_sort(F.collect_list(F.struct("sid", "slots", "blocks", "few", "more")))).scalar()
+        shards = spark.range(0, n_shards, 1, min(tasks, n_shards)).withColumnRenamed("id", "shard")
+        each = each.unionByName(_drawn(shards, free, n_free, free_slots, n_shards, seed))
+    each = each.where(F.col("n") < MAX_REPEATS * F.col("blocks")).withColumns({"pass": F.expr("n div blocks"), "index": F.col("n") % F.col("blocks")})
     each = permuted(each, "index", "blocks", F.xxhash64(F.lit(seed), "sid", "pass"), "block")
-    return each.select(F.expr(f"place div {shard_slots}").alias("shard"), (F.col("place") % shard_slots).alias("slot"), "sid", "pass", "block")
+    place = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "sid", "n"), "sid", "n")) - 1
+    return each.withColumn("slot", place).select("shard", "slot", "sid", "pass", "block")
 
 
 def packing(rows: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -151,7 +202,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -
     found = mix(docs, weights, seed=seed).where("size > 0").groupBy("key", "source", "size").agg(
         F.count("*").alias("rows"), F.round(F.sum("taken") * _UNIT / F.col("size")).cast("long").alias("rate"))
     found = staged(found.withColumn("class", F.floor(2 * F.log2("size")).cast("int")), "rates")
-    buckets = 1 + found.count() // BUCKET_DOCS
+    buckets = 1 + found.count() // CARRY_DOCS
     found = found.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(buckets)))
     over = Window.partitionBy("source").orderBy(F.col("class").desc(), "bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = found.groupBy("source", "class", "bucket").agg(F.sum("rate").alias("rates"))
@@ -170,14 +221,15 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: i
     are those that the mix takes but for the remainders of documents of like size. Equal rows
     (by doc_id, source and text) share their copies evenly."""
     found = copies(docs, weights, seed).where("copies > 0")
-    found = found.select(F.col("key").alias("_its"), F.col("rows").alias("_rows"), F.col("copies").alias("_all"))
-    named = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
+    key, its, rows, everything, rank, own, copy = unused(docs, "_key", "_its", "_rows", "_all", "_rank", "_copies", "_copy")
+    found = found.select(F.col("key").alias(its), F.col("rows").alias(rows), F.col("copies").alias(everything))
+    named = docs.withColumn(key, F.xxhash64("doc_id", "source", "text"))
     # the first of equal rows get what is left over; other columns only order them
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns)))
-    own = F.expr("cast(_all div _rows + if(_rank <= _all % _rows, 1, 0) as int)")
-    return (named.join(found, F.col("_key") == F.col("_its")).withColumn("_rank", rank)
-            .withColumn("_copies", own).where("_copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns)))
+    share = F.expr(f"cast({everything} div {rows} + if({rank} <= {everything} % {rows}, 1, 0) as int)")
+    return (named.join(found, F.col(key) == F.col(its)).withColumn(rank, place)
+            .withColumn(own, share).where(F.col(own) > 0)
+            .withColumn(copy, F.explode(F.sequence(F.lit(1), own))).select(docs.columns))
 
 
 def targets_of(sizes: dict, weights: tuple[int, ...] = WEIGHTS) -> dict:

@@ -38,7 +38,7 @@ def test_query_meets_targets_and_reruns_agree(spark, sf):
     docs = [(r.doc_id, r.source, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
     first = QUERIES["op1_source_mixing"](spark, path).collect()
     check(first, docs)
-    again = M.mix(spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(7)).collect()
+    again = M.mix(spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(7), block=32, shard_slots=8192).collect()
     assert sorted((r.doc_id, r.taken) for r in first) == sorted((r.doc_id, r.taken) for r in again)
 
 
@@ -56,24 +56,84 @@ def test_permutations_are_bijections(spark):
     assert got != sorted(got)
 
 
-def test_slots_fill_shards_and_vary(spark):
+def replayed(sources, hashes, permutation, shard_slots):
+    """The slots (shard, sid, pass, block) by the rules, from the hashes of all draws."""
+    some = sorted((r for r in sources if r.slots > 0), key=lambda r: r.sid)
+    shards = -(-sum(r.slots for r in some) // shard_slots)
+    free = [r for r in some if not r.limited]
+    whole = sum(r.slots for r in free)
+    found, numbers, late = [], Counter(), []
+    for r in some:
+        if r.limited:
+            found += [(int(n / r.slots * shards), r, n) for n in range(r.slots)]
+    for j in range(shards):
+        size = whole // shards + (j < whole % shards)
+        rests = []
+        for r in free:
+            sure, rest = divmod(size * r.slots, whole)
+            rests.append(rest)
+            for _ in range(sure):
+                found.append((j, r, numbers[r.sid]))
+                numbers[r.sid] += 1
+        for d in range(sum(rests) // whole if whole else 0):
+            u, k = hashes[j, d] % sum(rests), 0
+            while u >= rests[k]:
+                u -= rests[k]
+                k += 1
+            late.append((j, free[k]))
+    for j, r in late:
+        found.append((j, r, numbers[r.sid]))
+        numbers[r.sid] += 1
+    return Counter((j, r.sid, n // r.blocks, permutation(r, n // r.blocks)[n % r.blocks]) for j, r, n in found if n < M.MAX_REPEATS * r.blocks)
+
+
+def replay(spark, sources, shard_slots, seed):
+    rows = sources.collect()
+    shards = -(-sum(r.slots for r in rows) // shard_slots)
+    draws = spark.range(shards).select(F.col("id").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(rows)).cast("long"))).alias("d"))
+    hashes = {(r.j, r.d): r.h for r in draws.select("j", "d", F.xxhash64(F.lit(seed), "j", "d").alias("h")).collect()}
+    grid = sources.select("sid", "blocks", F.explode(F.expr("sequence(0L, 2L)")).alias("pass")).select("*", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("index"))
+    grid = M.permuted(grid, "index", "blocks", F.xxhash64(F.lit(seed), "sid", "pass"), "to")
+    to = {(r.sid, r["pass"], r["index"]): r.to for r in grid.collect()}
+    return replayed(rows, hashes, lambda r, p: [to[r.sid, p, i] for i in range(r.blocks)], shard_slots)
+
+
+@pytest.mark.parametrize("shard_slots, seed", [(37, 2), (10 ** 6, 1)])
+def test_draws_replayed(spark, shard_slots, seed):
+    """Counts drawn per shard, blocks mapped and words taken, against the rules step by step."""
     prepare(spark)
-    docs = [(i, f"s{i % 3}", "w " * 500) for i in range(300)]
+    docs = [(i, f"s{i % 7}", "w " * (3 if i % 7 < 2 else 90 + i)) for i in range(250)] + [(900, None, "w " * 70)]
     rows = M.sized(spark.createDataFrame(docs, "doc_id long, source string, text string"))
     sources = M.targets(rows)
-    drawn = M.slots(sources, 200).collect()
-    want = {r.sid: r for r in sources.collect()}
+    want = replay(spark, sources, shard_slots, seed)
+    drawn = M.slots(sources, shard_slots, seed).collect()
+    assert Counter((r.shard, r.sid, r["pass"], r.block) for r in drawn) == want
     places = Counter((r.shard, r.slot) for r in drawn)
-    assert max(places.values()) == 1 and len(places) == sum(r.slots for r in want.values())
-    counts = Counter((r.shard, r.sid) for r in drawn)
-    for sid, r in want.items():
-        own = [s for s in drawn if s.sid == sid]
-        times = Counter(s.block for s in own)
-        assert len(own) == r.slots and set(times) <= set(range(r.blocks))
-        assert max(times.values()) - min(times[b] for b in range(r.blocks)) <= 1
-    full = [counts[(s, 0)] for s in range(len(places) // 200)]
-    mean = 200 * want[0].slots / len(places)
-    assert len(set(full)) > 1 and all(abs(c - mean) < 6 * mean ** 0.5 for c in full)
+    per_shard = Counter(r.shard for r in drawn)
+    assert max(places.values()) == 1 and all(s < per_shard[k] for k, s in places)
+    assert max(per_shard.values()) - min(per_shard.values()) <= 1 + 2 * len(sources.collect())
+
+    times = Counter()
+    for (_, sid, _, block), n in want.items():
+        times[sid, block] += n
+    taken = Counter()
+    for r in M.packing(rows, sources).collect():
+        taken[r.doc_id] += r.words * times[r.sid, r.block]
+    got = {r.doc_id: r.taken for r in M.mix(spark.createDataFrame(docs, "doc_id long, source string, text string"), shard_slots=shard_slots, seed=seed).collect()}
+    assert got == {i: taken[i] for i, _, _ in docs}
+
+
+def test_draws_decide_and_vary_between_shards(spark):
+    prepare(spark)
+    docs = [(i, f"s{i % 3}", "w " * 500) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    sources = M.targets(M.sized(df))
+    counts = Counter((r.shard, r.sid) for r in M.slots(sources, 50).collect())
+    shards = 1 + max(j for j, _ in counts)
+    own = [counts[j, 0] for j in range(shards)]
+    assert len(set(own)) > 1 and max(own) - min(own) <= 4
+    taken = [sorted((r.doc_id, r.taken) for r in M.mix(df, shard_slots=n, seed=s).collect()) for n, s in ((50, 1), (7, 1), (50, 2))]
+    assert taken[0] != taken[1] and taken[0] != taken[2]
 
 
 def test_awkward_rows(spark):

@@ -21,7 +21,7 @@ def carried(mix, seed=1):
     hashed = mix.where("size > 0").select("doc_id", "source", "size", "taken", "key", F.xxhash64("key", F.lit(seed)).alias("deal"), F.xxhash64("source", F.lit(seed)).alias("start"))
     rows, unit = hashed.collect(), mixing._UNIT
     assert len({r.key for r in rows}) == len(rows)  # no equal rows, which would share a rate
-    buckets = 1 + len(rows) // mixing.BUCKET_DOCS
+    buckets = 1 + len(rows) // mixing.CARRY_DOCS
     order = sorted(rows, key=lambda r: (-math.floor(2 * math.log(r["size"]) / math.log(2)), r.deal % buckets, -r["size"], r.key))
     sums, out = {}, Counter()
     for r in order:
@@ -69,6 +69,24 @@ def test_stages_one_after_the_other(spark):
     assert sorted(C.run(spark, SF).collect(), key=str) == sorted(rows[5], key=str)
 
 
+CLASHES = ["rid", "quality", "samples", "license", "_h", "_id", "_row", "_hash", "_key", "_its", "_rows", "_all", "_rank",
+           "_copies", "_copy", "_runs", "_rid", "_quality", "text_hash", "words", "Block"]
+
+
+def test_clashing_columns_come_through(spark):
+    prepare(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    more = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in CLASHES])
+    for name, stage in C.STAGES[:4]:
+        plain, out = staged(stage(spark, docs, SF), "test"), staged(stage(spark, more, SF), "test")
+        assert out.columns == more.columns
+        rows = out.collect()
+        assert Counter(tuple(r[c] for c in docs.columns) for r in rows) == Counter(map(tuple, plain.collect()))
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHES)
+        docs, more = plain, out
+    assert sp_sampling.encode(more).columns[-1] == "samples"
+
+
 def test_awkward_rows(spark):
     prepare(spark)
     for df in (tables.awkward(spark).drop("kept"), tables.empty(spark)):
