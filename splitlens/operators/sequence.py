@@ -105,18 +105,11 @@ class Heat:
     order: tuple[str, ...]
     table: DataFrame
 
-    def _matched(self, df: DataFrame, how: str) -> DataFrame:
-        return df.join(F.broadcast(self.table), list(self.keys), how)
-
-    def rows_of(self, df: DataFrame) -> DataFrame:
-        """The rows of hot keys."""
-        return self._matched(df, "left_semi")
-
     def add_segment(self, df: DataFrame) -> DataFrame:
         """``df`` with the segment number, which rises along the order within a hot key and is
         null for other keys."""
         time, seq = _micros(self.order[0]), _sequence(self.order[1])
-        d = self._matched(df, "left")
+        d = df.join(F.broadcast(self.table), list(self.keys), "left")
         d = d.withColumn("_at", F.when(F.col("_cuts").isNotNull(), count_below(F.col("_cuts"), time, MAX_CUTS)))
         on_cut = F.get("_cuts", F.col("_at")) == time
         sub = F.when(on_cut, 1 + count_below(F.get("_subcuts", F.col("_at")), seq, MAX_CUTS)).otherwise(0)
