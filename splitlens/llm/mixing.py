@@ -36,7 +36,7 @@ MAX_REPEATS = 3
 BLOCK, SHARD_SLOTS = 64, 4096
 BUCKET_DOCS, BUCKET_SHARDS = 10_000, 1024
 #: Stage 4 carries remainders within buckets of so many documents of a source and size class.
-CARRY_DOCS = 10_000
+CARRY_DOCS = 1000
 _UNIT = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
