@@ -1,13 +1,16 @@
 """Suffix-array dedup against a scan of all strings, and the array against sorting."""
 
 import random
+import tracemalloc
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from splitlens.llm import suffix_array as A
 from splitlens.llm import suffix_dedup as S
+from splitlens.llm import words as W
 from splitlens.llm.registry import QUERIES
 from splitlens.llm.staging import prepare
 
@@ -84,3 +87,27 @@ def test_awkward_rows(spark):
     copies = spark.createDataFrame([(1, tables.LONG), (2, tables.LONG), (None, tables.LONG), (2, tables.LONG)], "doc_id long, text string")
     assert [r.doc_id for r in S.without_repeats(copies).collect()] == [1]
     assert sorted(r.n_removed for r in S.summary(copies).collect()) == [0] + [len(tables.LONG)] * 3
+
+
+def test_working_memory_is_bounded(spark):
+    """Hashing takes memory by stride, not by batch, and batches of long texts are cut by bytes."""
+    data = np.random.default_rng(3).integers(97, 123, 4 << 20).astype(np.uint8)
+    data[::7] = 32
+    offs = np.arange(0, len(data) + 1, 1 << 12)
+    texts = pa.array([data[a:b].tobytes().decode() for a, b in zip(offs, offs[1:])])
+    for work in (lambda: S.regions(data, offs), lambda: sum(1 for _ in W.shingle_sets(texts))):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 48 << 20
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([b.num_rows], pa.int64())})
+
+    prepare(spark)
+    docs = spark.createDataFrame([(i, "x" * 10_000) for i in range(1000)], "doc_id long, text string").coalesce(1)
+    S.repeats(docs.limit(3))
+    assert max(r.rows for r in docs.mapInArrow(sizes, "rows long").collect()) < 100
+    prepare(spark)
