@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import random
 from collections.abc import Iterator
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -48,35 +49,93 @@ _KINDS_OF_BYTES[ord("'")] = 0
 _KINDS_OF_BYTES[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 2
 _KINDS_OF_BYTES[0x30:0x3A] = 1
 _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+#: Words encoded as one text, and the control sign that parts them there, one id of its own.
+JOINED, _MARK = 128, "\x01"
 _models: dict = {}
 
 Bins = list[list[int]]
 
 
 # -- pieces ----------------------------------------------------------------------------------
-def _model(path: str):
-    """The vocabulary and the words encoded so far, once per Python worker."""
-    if path not in _models:
+class _Known:
+    """The vocabulary, and the ids of the words encoded so far: those of word number ``i`` are
+    ``ids[first[i]:first[i + 1]]``."""
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _models[path] = Tokenizer.from_file(path), {}
+        self.model = Tokenizer.from_file(path)
+        pieces = self.model.get_vocab()
+        self.last = np.zeros(max(pieces.values()) + 1, bool)  # ids that end a run
+        self.last[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
+        self.mark = np.zeros(len(self.last), bool)
+        mark = self._encoded([_MARK])[0]
+        self.mark[mark] = len(mark) == 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words back to back, and how many each has; words encoded one by one."""
+        found = self._encoded(words)
+        size = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+    def _runs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of visible ASCII signs, encoded as one text: if it has as many runs as
+        words, every word is one."""
+        ids = np.array(self._encoded([" ".join(words)])[0], np.uint32)
+        last = np.flatnonzero(self.last[ids])
+        return (ids, np.diff(last, prepend=-1)) if len(last) == len(words) else self._single(words)
+
+    def _marked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words without marks, encoded as one text with a mark after each."""
+        ids = np.array(self._encoded([f" {_MARK} ".join([*words, ""])])[0], np.uint32)
+        mark = np.flatnonzero(self.mark[ids])
+        return (np.delete(ids, mark), np.diff(mark, prepend=-1) - 1) if len(mark) == len(words) else self._single(words)
+
+    def add(self, words: list[str]) -> None:
+        """Encode words that are not known."""
+        alone, runs, marked = [], [], []
+        for w in words:
+            if _MARK in w or "<|" in w:  # special pieces are found before any cut
+                alone.append(w)
+            else:
+                (runs if w.isascii() and w.isprintable() and "'" not in w else marked).append(w)
+        found = [encode(own[lo:lo + JOINED]) for own, encode in ((alone, self._single), (runs, self._runs), (marked, self._marked))
+                 for lo in range(0, len(own), JOINED)]
+        self.number.update(zip(chain(alone, runs, marked), range(len(self.number), len(self.number) + len(words))))
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+        self.first = np.append(self.first, self.first[-1] + np.cumsum(np.concatenate([size for _, size in found])))
+
+
+def _model(path: str) -> _Known:
+    """Vocabulary and known words, once per Python worker."""
+    if path not in _models:
+        _models[path] = _Known(path)
     return _models[path]
 
 
-def _ids(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words back to back, and the n+1 offsets. This vocabulary drops white space and
-    encodes runs of letters, digits and other signs each by itself, so they may be encoded one
-    by one."""
-    model, known = _model(path)
-    words = words.to_pylist()
-    if len(known) > _KNOWN_WORDS:
+def _ids(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of known words back to back, and per word of ``words`` where its own start and how many
+    they are. This vocabulary drops white space and encodes runs of letters, digits and other
+    signs each by itself, so words may be encoded one by one, or many as one text."""
+    known, words = _model(path), words.to_numpy(zero_copy_only=False).tolist()
+    if len(known.number) > _KNOWN_WORDS:
         known.clear()
-    new = [w for w in words if w not in known]
-    for w, e in zip(new, model.encode_batch(new, add_special_tokens=False)):
-        known[w] = np.array(e.ids, np.uint32)
-    found = [known[w] for w in words]
-    return np.concatenate([*found, np.zeros(0, np.uint32)]), np.cumsum([0, *map(len, found)])
+    at = np.fromiter(map(known.number.get, words, repeat(-1)), np.int64, len(words))
+    new = np.flatnonzero(at < 0)
+    if len(new):
+        more = [words[i] for i in new.tolist()]
+        known.add(more)
+        at[new] = [known.number[w] for w in more]
+    return known.ids, known.first[at], known.first[at + 1] - known.first[at]
 
 
 _PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -97,10 +156,10 @@ def pieces(docs: DataFrame, with_ids: bool = False, vocabulary: str | None = Non
                 part = data[offs[lo]:offs[hi]]
                 special = any(x in part.tobytes() for x in _SPECIAL)  # these are found before any cut
                 codes, at, words = W.word_codes(part, offs[lo:hi + 1] - offs[lo], kinds=None if special else _KINDS_OF_BYTES)
-                flat, begin = _ids(path, words)
-                size = np.diff(begin)[codes]
+                flat, first, many = _ids(path, words)
+                size = many[codes]
                 ends = np.cumsum(size)
-                tokens = flat[np.repeat(begin[codes] - ends + size, size) + np.arange(int(size.sum()))]
+                tokens = flat[np.repeat(first[codes] - ends + size, size) + np.arange(int(size.sum()))]
                 bound = np.append(0, ends)[at]
                 out = []
                 for i in range(hi - lo):

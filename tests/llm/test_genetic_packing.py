@@ -5,6 +5,7 @@ from collections import defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -165,3 +166,21 @@ def test_awkward_rows_and_sequences(spark):
     own = G.sequences(df).collect()
     assert all(0 < len(r.ids) <= 2048 for r in own)
     assert sorted(t for r in own for t in r.ids) == sorted(t for r in df.collect() for t in ids_of(r.text))
+
+
+def test_words_are_encoded_many_at_once(monkeypatch):
+    path = tokenizer_path(G.VOCABULARY)
+    known, texts = G._Known(path), []
+    monkeypatch.setitem(G._models, path, known)
+    rng = random.Random(5)
+    signs = ["ab", "Z", "7", "'s", "'", "-", "<|", "<|endoftext|>", "\x01", "\x02", "\x1c", " ", "é", "é", "́", "ς", "中", "😀", "½"]
+    odd = ["".join(rng.choices(signs, k=rng.randint(1, 6))) for _ in range(3000)]
+    plain = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(3000)]
+    words = list(dict.fromkeys([*odd, *plain, "'s", " "]))
+    want = [e.ids for e in known.model.encode_batch(words, add_special_tokens=False)]
+    encoded = known._encoded
+    monkeypatch.setattr(known, "_encoded", lambda x: texts.extend(x) or encoded(x))
+    for _ in range(2):
+        ids, first, many = G._ids(path, pa.array(words, pa.large_string()))
+        assert [ids[a:a + n].tolist() for a, n in zip(first, many)] == want
+    assert len(plain) > 2900 and len(texts) < len(words) - 2900
