@@ -149,3 +149,93 @@ def test_a_group_s_units_are_cut_and_numbered_as_arrays_with_the_samples_as_they
         [(0, 0, 0.0)],
         [(67, 1102408069, -29.503398), (68, 2879038519, -35.028144), (68, 2966624237, -33.500747)],
     ]
+
+
+def whole_lattice(text, v=V):
+    units, _, chars, size = S._split([text], v)
+    return units, S._lattices(chars, size, v)
+
+
+def log_weights(text):
+    """Log of the sum over all segmentations of a text, and of one given as ids, piece by piece."""
+    weight = {V.text[i].decode(): float(V.weight[n]) for n, i in enumerate(V.piece.tolist()) if i >= 0}
+    marked, total = " " + text, [0.0]
+    for b in range(1, len(marked) + 1):
+        ways = [total[a] + np.log(weight[marked[a:b]]) for a in range(max(0, b - 16), b) if marked[a:b] in weight]
+        if marked[b - 1] not in weight:
+            ways.append(total[b - 1] + np.log(V.fallback))
+        total.append(np.logaddexp.reduce(ways))
+    return total[-1], lambda ids: sum(np.log(weight.get(V.text[i].decode(), V.fallback)) for i in ids)
+
+
+UNSPACED = ["x" * 150, "a  b", "    return  x   ", "=" * 70 + "\n" + " " * 40 + "y", "https://example.com/" + "aGVsbG8gd29ybGQ" * 9, "xy" * 3000]
+
+
+def test_samples_are_of_the_whole_lattice_of_long_units_and_runs_of_spaces(spark):
+    prepare(spark)
+    docs = spark.createDataFrame(list(enumerate(UNSPACED)), "doc_id long, text string").coalesce(1)
+    short = {r.doc_id: r for r in S.digests(docs, k=3).collect()}
+    for r in S.encode(docs, k=3).collect():
+        total, of = log_weights(r.text)
+        assert len(r.samples) == 3 and all(V.decode(s.ids) == r.text for s in r.samples)
+        assert [s.log_prob for s in r.samples] == pytest.approx([of(s.ids) - total for s in r.samples], abs=1e-6)
+        assert short[r.doc_id].log_probs == ",".join(f"{s.log_prob:.6f}" for s in r.samples) and short[r.doc_id].decoded
+
+
+def test_the_library_s_encoding_is_a_path_of_the_lattice():
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(S.VOCABULARY))
+    for text in [*UNSPACED, "你好世界" * 40, "  \n\n  a", "é" * 100]:
+        units, g = whole_lattice(text)
+        want, i = sp.encode(text), 0
+        for pos in g.start[units].tolist():
+            while pos < len(g.chars):
+                edges = {tuple(V.tokens(g, np.array([e])).tolist()): e for e in range(g.first[pos], g.stop[pos])}
+                ids, = (x for x in edges if tuple(want[i:i + len(x)]) == x)
+                pos, i = int(g.end[edges[ids]]), i + len(ids)
+        assert i == len(want) and V.decode(want) == text
+
+
+@pytest.mark.parametrize("text,unlikely,levels", [("a  b", -60.0, 4096), ("abbd", 1.0, 4096), ("of  it", -1.0, 4096), ("abbd", -1.0, 1)])
+def test_pairs_come_as_often_with_runs_of_spaces_split_tails_and_single_steps(monkeypatch, text, unlikely, levels):
+    monkeypatch.setattr(S, "UNLIKELY", unlikely)
+    monkeypatch.setattr(S, "PLAIN", 0)
+    monkeypatch.setattr(S, "LEVELS", levels)
+    units, g = whole_lattice(text)
+    every = [((), 1.0)]
+    for u in units:
+        every = [(a + b, p * q) for a, p in every for b, q in paths(g, g.start[u])]
+    prob, n = dict(every), 8000
+    rows = S.sample(np.tile(units, n), np.arange(n + 1) * len(units), np.arange(n).astype(np.uint64) * np.uint64(977), g, 2)
+    two, estimate = Counter(), Counter()
+    for (a, b), threshold in rows:
+        assert a.value >= b.value >= threshold
+        two[tuple(a.edges.tolist()), tuple(b.edges.tolist())] += 1
+        for path in (a, b):
+            edges = tuple(path.edges.tolist())
+            estimate[edges] += prob[edges] / np.exp(S.log_inclusion(float(path.log_p.sum()), threshold))
+    for a, p in prob.items():
+        for b, q in prob.items():
+            x = p * q / (1 - p)
+            assert two[a, b] == 0 if a == b else abs(two[a, b] - n * x) < 5 * np.sqrt(n * x) + 2
+    assert sum(estimate.values()) / n == pytest.approx(1, abs=0.05)
+
+
+def test_sums_by_powers_and_one_by_one_are_the_plain_ones(monkeypatch):
+    units = ["▁" + "x" * 30, "▁▁▁▁▁▁▁ab", "▁hello", "▁" + "é==" * 9]
+    plain = S.lattices(units, V)
+    for least, levels in ((0, 4096), (0, 3), (3, 8)):
+        monkeypatch.setattr(S, "PLAIN", least)
+        monkeypatch.setattr(S, "LEVELS", levels)
+        g = S.lattices(units, V)
+        assert g.p.tolist() == pytest.approx(plain.p.tolist(), rel=1e-12)
+        assert all(np.array_equal(a, b) for a, b in ((g.chars, plain.chars), (g.end, plain.end), (g.piece, plain.piece)))
+
+
+def test_segmentations_that_are_next_to_impossible_are_still_drawn():
+    sharp = S.Vocabulary(tokenizer_path(S.VOCABULARY), alpha=8.0)
+    for text in ("of", "the  of"):
+        units, g = whole_lattice(text, sharp)
+        every = int(np.prod([len(list(paths(g, g.start[u]))) for u in units]))
+        rows = next(S.encodings([text], np.array([5], np.uint64), sharp, every + 1, whole=True))
+        assert len({ids.tobytes() for ids, *_ in rows}) == len(rows) == every > 2
+        assert all(sharp.decode(ids.tolist()) == text for ids, *_ in rows)
