@@ -239,3 +239,14 @@ def test_segmentations_that_are_next_to_impossible_are_still_drawn():
         rows = next(S.encodings([text], np.array([5], np.uint64), sharp, every + 1, whole=True))
         assert len({ids.tobytes() for ids, *_ in rows}) == len(rows) == every > 2
         assert all(sharp.decode(ids.tolist()) == text for ids, *_ in rows)
+
+
+def test_few_walks_one_by_one_take_the_steps_of_many(monkeypatch):
+    texts, keys = [*UNSPACED, "plain words"], np.arange(len(UNSPACED) + 1, dtype=np.uint64)
+    found = []
+    for narrow in (0, 32):
+        monkeypatch.setattr(S, "NARROW", narrow)
+        found.append([[(ids.tolist(), *x) for ids, *x in rows] for rows in S.encodings(texts, keys, V, 3, whole=True)])
+    assert found[0] == found[1]
+    for text, key, rows in zip(texts, keys, found[0]):
+        assert [ids for ids, *_ in rows] == [ids.tolist() for ids, *_ in next(S.encodings([text], np.array([key]), V, 3, whole=True))]
